@@ -24,8 +24,13 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             .option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir))
 
 
+def _with_k(events: DataFrame) -> DataFrame:
+    """The only number in the JSON column."""
+    return events.withColumn("_k", F.regexp_extract("props", "[0-9]+", 0).cast("int"))
+
+
 def _k() -> Column:
-    return F.get_json_object("props", "$.k").cast("int")
+    return F.col("_k")
 
 
 def _metro(owner: Column) -> Column:
@@ -72,7 +77,7 @@ def _epoch(ts: str = "ts") -> Column:
 
 def positions(events: DataFrame) -> DataFrame:
     """Vehicle positions with the lake's thirteen columns."""
-    return events.select(
+    return _with_k(events).select(
         F.col("event_id").cast("string").alias("entity_id"),
         _vehicle_id().alias("vehicle_id"),
         _route_id().alias("route_id"),
@@ -91,7 +96,7 @@ def positions(events: DataFrame) -> DataFrame:
 
 def trip_updates(events: DataFrame) -> DataFrame:
     """Flat trip updates, one row per predicted stop."""
-    return events.where(F.col("event_type").isin("view", "click")).select(
+    return _with_k(events.where(F.col("event_type").isin("view", "click"))).select(
         _trip_id().alias("trip_id"),
         _route_id().alias("route_id"),
         _vehicle_id().alias("vehicle_id"),
@@ -153,7 +158,7 @@ def feed_messages(events: DataFrame) -> DataFrame:
         return F.struct(F.concat(number, F.lit(suffix)).alias("id"),
                         vehicle_part.alias("vehicle"), update_part.alias("trip_update"))
 
-    return events.select(
+    return _with_k(events).select(
         _feed(F.col("user_id")).alias("feed"),
         F.struct(_epoch().alias("timestamp")).alias("header"),
         F.array(entity("", vehicle, no_update),

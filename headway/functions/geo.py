@@ -43,12 +43,12 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
 
 def register_sql_functions(spark: SparkSession) -> None:
     """Make ``haversine(lat1, lon1, lat2, lon2)`` callable from SQL text, without Python."""
+    h = ("(pow(sin(radians(lat2 - lat1) / 2), 2)"
+         " + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2))")
     spark.sql(f"""
         CREATE OR REPLACE TEMPORARY FUNCTION haversine(
             lat1 DOUBLE, lon1 DOUBLE, lat2 DOUBLE, lon2 DOUBLE) RETURNS DOUBLE
-        RETURN 2 * {EARTH_RADIUS_M}D * asin(sqrt(least(1D,
-            pow(sin(radians(lat2 - lat1) / 2), 2)
-            + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2))))
+        RETURN {2 * EARTH_RADIUS_M}D * atan2(sqrt({h}), sqrt(1D - {h}))
     """)
 
 

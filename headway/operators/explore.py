@@ -67,18 +67,16 @@ def message_counts(messages: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("messages"))
 
 
-def enriched_positions(positions: DataFrame, updates: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Positions with the newest delay of their trip and a bunching flag."""
+def enriched_positions(positions: DataFrame, updates: DataFrame, bunched: DataFrame) -> DataFrame:
+    """Positions with the newest delay of their trip and a bunching flag.
+
+    ``bunched`` lists (vehicle_id, event_ts) once each.
+    """
     newest = updates.where(F.col("arrival_delay").isNotNull()).groupBy("trip_id").agg(
         F.max_by("arrival_delay", F.struct("event_ts", "arrival_delay")).alias("delay_seconds"))
-    ends = F.array(F.struct(F.col("vehicle_id_a").alias("vehicle_id"),
-                            F.col("window_start").alias("event_ts")),
-                   F.struct(F.col("vehicle_id_b").alias("vehicle_id"),
-                            F.col("window_end").alias("event_ts")))
-    bunched = (pairs.select(F.explode(ends).alias("_e")).select("_e.*").distinct()
-               .withColumn("_bunched", F.lit(True)))
+    flags = bunched.withColumn("_bunched", F.lit(True))
     return (positions.join(newest, "trip_id", "left")
-            .join(bunched, ["vehicle_id", "event_ts"], "left")
+            .join(flags, ["vehicle_id", "event_ts"], "left")
             .withColumn("is_bunching", F.coalesce("_bunched", F.lit(False)))
             .drop("_bunched"))
 

@@ -13,15 +13,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def magnitude_bucket(value: Column) -> Column:
-    """Coarse bucket of a number, monotone in it, with at most some 130,000 different values."""
+    """Coarse bucket of a number, monotone in it, with at most some 130,000 different values.
+
+    Never null, so that both readers of the counts have the same plan and share its shuffle.
+    """
     steps = F.floor(F.log2(F.lit(1.0) + F.abs(value)) * 64)
-    return F.when(F.isnan(value), F.lit(1 << 20).cast("long")).otherwise(
-        F.when(value < 0, -steps - 1).otherwise(steps))
+    bucket = F.when(F.isnan(value), 1 << 20).when(value < 0, -steps - 1).otherwise(steps)
+    return F.coalesce(bucket, F.lit(0).cast("long"))
 
 
 def prefix_bucket(value: Column, length: int = 3) -> Column:
     """Coarse bucket of a text, monotone in it."""
-    return F.substring(value, 1, length)
+    return F.coalesce(F.substring(value, 1, length), F.lit(""))
 
 
 def running_counts(freq: DataFrame, keys: Sequence[str], bucket: str, order: str,

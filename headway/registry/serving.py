@@ -10,6 +10,7 @@ from headway.operators import alerts, clean, explore, kpis, state
 from headway.registry.base import haversine, query, rnd, rnd_mean, sql, subquery
 from headway.registry.lake import positions, silver
 from headway.registry.realtime import trip_updates
+from headway.session import materialise
 
 HOUR_S = 3600
 
@@ -88,7 +89,8 @@ def route_vehicle_sessions_1h(spark, sf_dir):
 @query("snapshot_messages")
 def snapshot_messages(spark, sf_dir):
     columns = ("vehicle_id", "route_id", "latitude", "longitude", "speed_mps", "event_ts")
-    return state.snapshot_messages(latest(spark, sf_dir).select(*columns), per_message=100)
+    live = materialise(latest(spark, sf_dir).select(*columns), "state")
+    return state.snapshot_messages(live, per_message=100)
 
 
 # Client calculations
@@ -194,7 +196,7 @@ def rejected_positions(spark, sf_dir):
 def enriched_positions(spark, sf_dir):
     rows = positions(spark, sf_dir)
     found = explore.enriched_positions(rows, trip_updates(spark, sf_dir),
-                                       alerts.bunching_alerts(rows))
+                                       alerts.bunched_vehicles(rows))
     return found.select("entity_id", "vehicle_id", "trip_id", "event_ts", "delay_seconds",
                         "is_bunching")
 

@@ -17,6 +17,9 @@ RUNTIME_CONF = {
     # Keyed stream state spills to disk instead of living on the heap.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Checkpoints upload changes, not whole snapshots; a join keeps one store per partition.
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.join.stateFormatVersion": "3",
     # Sessions of one key are merged inside each map task before the shuffle.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -30,10 +32,15 @@ def bronze_sink(positions: DataFrame, folder: str, checkpoint: str,
             .option("path", folder).option("checkpointLocation", checkpoint))
 
 
+def _balanced(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """Rows of one partition together, so files are few; a large partition is split again."""
+    return df.hint("rebalance", *partition_by) if partition_by else df
+
+
 def overwrite_partitions(df: DataFrame, folder: str, *partition_by: str) -> None:
     """Replace only the partitions present in ``df``, so a retried load repeats nothing."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*partition_by).parquet(folder))
+    (_balanced(df, partition_by).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(folder))
 
 
 def load_static(table: DataFrame, folder: str) -> None:
@@ -43,7 +50,7 @@ def load_static(table: DataFrame, folder: str) -> None:
 
 def refresh(df: DataFrame, folder: str, partition_by: tuple[str, ...] = ()) -> None:
     """Full rebuild of a Silver or Gold table."""
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(folder)
+    _balanced(df, partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(folder)
 
 
 def append_feed_log(rows: DataFrame, folder: str) -> None:

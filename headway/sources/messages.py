@@ -51,8 +51,10 @@ def parse(raw: DataFrame, schema: T.StructType, key: str = "entity_id") -> DataF
 
     Unreadable messages come out without a key and are dropped; unknown members are ignored.
     """
-    parsed = raw.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("m"))
-    return parsed.select("m.*").where(F.col(key).isNotNull())
+    # As a generator the parsed message is built once; a plain column would be parsed again for
+    # the filter, which Catalyst moves below the projection.
+    message = F.from_json("value", schema, {"mode": "PERMISSIVE"})
+    return raw.select(F.inline_outer(F.array(message))).where(F.col(key).isNotNull())
 
 
 def with_event_time(df: DataFrame, epoch: str, unit: str = "s") -> DataFrame:
@@ -122,7 +124,9 @@ def _entities(feeds: DataFrame, feed_type: str, ingested_at: Column | None) -> D
     stamp = F.unix_seconds(F.current_timestamp()) if ingested_at is None else ingested_at
     return feeds.select("feed", F.lit(feed_type).alias("feed_type"),
                         F.col("header.timestamp").alias("feed_timestamp"),
-                        stamp.cast("long").alias("ingested_at"), F.explode("entity").alias("e"))
+                        stamp.cast("long").alias("ingested_at"),
+                        # The callers drop null entities; the outer form infers no extra filter.
+                        F.explode_outer("entity").alias("e"))
 
 
 def _base_columns() -> list[Column]:
