@@ -129,23 +129,27 @@ def scaler_table(params: DataFrame) -> DataFrame:
             .select("r.feature", "r.x_min", "r.x_max"))
 
 
-def _scaled(value: Column, low: Column, high: Column) -> Column:
-    span = F.when(high == low, F.lit(1.0).cast("float")).otherwise(high - low)
-    return (value - low) / span
+def _scaled(value: Column, low: float, high: float) -> Column:
+    span = 1.0 if high == low else high - low
+    return ((value - F.lit(low)) / F.lit(span)).cast("float")
 
 
 def scale(samples: DataFrame, params: DataFrame) -> DataFrame:
-    """Min-max scaled x and target next to the raw target; a constant feature becomes 0."""
-    p = params.select(F.struct("*").alias("p")).scalar()
-    one_step = lambda row: F.transform(
-        row, lambda v, i: _scaled(v, F.get(F.col("_p.x_min"), i),
-                                  F.get(F.col("_p.x_max"), i)).cast("float"))
-    return (samples.withColumn("_p", p)
-            .withColumn("x_scaled", F.transform("x", one_step))
-            .withColumn("target_scaled", _scaled(F.col("target_speed_kmh"), F.col("_p.y_min"),
-                                                 F.col("_p.y_max")).cast("float"))
-            .drop("_p"))
-
-
-def unscale_target(value: Column, y_min: Column, y_max: Column) -> Column:
-    return value * F.when(y_max == y_min, F.lit(1.0)).otherwise(y_max - y_min) + y_min
+    """Min-max scaled x and target next to the raw target; a constant feature becomes 0.
+
+    Like any fitted scaler it takes its parameters, one row of 36 numbers, to the driver.
+    """
+    p = params.first()
+    if p is None or p.y_min is None:
+        raise ValueError("there are no samples to scale")
+
+    def one_step(step: Column) -> Column:
+        return F.array(*[_scaled(F.get(step, F.lit(i)), low, high) for i, (low, high) in
+                         enumerate(zip(p.x_min, p.x_max))])
+
+    return (samples.withColumn("x_scaled", F.transform("x", one_step))
+            .withColumn("target_scaled", _scaled(F.col("target_speed_kmh"), p.y_min, p.y_max)))
+
+
+def unscale_target(value: Column, y_min: float, y_max: float) -> Column:
+    return value * F.lit(1.0 if y_max == y_min else y_max - y_min) + F.lit(y_min)

@@ -51,10 +51,9 @@ def train(scaled: DataFrame, kind: str = "linear") -> PipelineModel:
 
 def score(model: PipelineModel, scaled: DataFrame, params: DataFrame) -> DataFrame:
     """Predicted speed in km/h next to the real one."""
-    bounds = params.select(F.struct("y_min", "y_max").alias("b")).scalar()
-    predicted = model.transform(as_vectors(scaled)).withColumn("_b", bounds)
-    speed = features.unscale_target(F.col("prediction"), F.col("_b.y_min").cast("double"),
-                                    F.col("_b.y_max").cast("double"))
+    bounds = params.first()
+    predicted = model.transform(as_vectors(scaled))
+    speed = features.unscale_target(F.col("prediction"), bounds.y_min, bounds.y_max)
     return predicted.select("route_id", "feed", "date", "split", "target_speed_kmh",
                             speed.alias("predicted_speed_kmh"))
 

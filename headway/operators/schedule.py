@@ -79,5 +79,5 @@ def feed_log_rows(loads: DataFrame) -> DataFrame:
 
 def changed_feeds(downloads: DataFrame, feed_log: DataFrame) -> DataFrame:
     """Downloads whose checksum was never logged for that feed."""
-    seen = feed_log.select("feed_name", "checksum")
+    seen = feed_log.select("feed_name", "checksum").distinct()
     return downloads.join(seen, ["feed_name", "checksum"], "left_anti")

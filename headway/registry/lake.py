@@ -251,7 +251,7 @@ def _not_null(spark, sf_dir) -> list[DataFrame]:
     # route_id may be null in Bronze; the check shows a table that fails.
     return [quality.report(bronze, "bronze", quality.bronze_not_null() + quality.not_null("route_id")),
             quality.report(clean.silver(bronze), "silver", quality.silver_not_null()),
-            quality.report(kpis.reliability(slim_silver(spark, sf_dir)), "gold",
+            quality.report(kpis.reliability(clean.silver(bronze)), "gold",
                            quality.gold_not_null())]
 
 
@@ -280,5 +280,5 @@ def dq_report(spark, sf_dir):
     silver_checks = quality.silver_not_null() + quality.silver_accepted_values()
     return union([quality.report(bronze, "bronze", bronze_checks),
                   quality.report(clean.silver(bronze), "silver", silver_checks),
-                  quality.report(kpis.reliability(slim_silver(spark, sf_dir)), "gold",
+                  quality.report(kpis.reliability(clean.silver(bronze)), "gold",
                                  quality.gold_not_null())])

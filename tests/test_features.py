@@ -80,7 +80,7 @@ def test_scaling_against_numpy(spark):
     assert np.allclose(found, (x - low) / span, atol=1e-6, equal_nan=True)
     assert np.all(found[:, :, features.FEATURES.index("feed_encoded")] == 0)  # constant feature
     assert np.allclose([r.target_scaled for r in scaled], (y - y.min()) / (y.max() - y.min()), atol=1e-6)
-    back = features.unscale_target(F.col("target_scaled"), F.lit(float(y.min())), F.lit(float(y.max())))
+    back = features.unscale_target(F.col("target_scaled"), float(y.min()), float(y.max()))
     again = [r[0] for r in features.scale(samples, params).orderBy("route_id", "date").select(back).collect()]
     assert np.allclose(again, y, atol=1e-4)
     assert features.scaler_table(params).count() == 17

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from headway import schemas
 from headway.functions import geo
 from headway.operators import clean, explore, kpis, quality
+from headway.plans import layers
 from headway.sinks import lake as sinks
 from headway.sources import lake
 
@@ -164,3 +165,24 @@ def test_load_stamp_is_one_moment(spark):
     frame = clean.stamped(positions_frame(spark, [dict(), dict()]))
     assert frame.select("updated_at").distinct().count() == 1
     assert frame.where(F.col("updated_at").isNull()).count() == 0
+
+
+def test_daily_run_builds_both_layers_and_checks(spark, tmp_path):
+    folders = [str(tmp_path / n) for n in ("bronze", "silver", "gold")]
+    data = [dict(event_ts=day(n), vehicle_id=f"V{v}") for n in range(3) for v in range(2)]
+    sinks.refresh(sinks.bronze_rows(positions_frame(spark, data)), folders[0], sinks.LAKE_PARTITIONS)
+    report = layers.run(spark, *folders)
+    assert report.count() == 10 and report.agg(F.sum("failures")).first()[0] == 0
+    assert spark.read.parquet(folders[2]).count() == 3
+
+    # One date arrives anew; only its partition changes.
+    late = positions_frame(spark, [dict(event_ts=day(1), vehicle_id=f"V{v}") for v in range(5)])
+    sinks.overwrite_partitions(sinks.bronze_rows(late), folders[0], *sinks.LAKE_PARTITIONS)
+    layers.run(spark, *folders, dates=["2024-01-02"])
+    gold = {r.ingestion_date: r.unique_vehicles for r in spark.read.parquet(folders[2]).collect()}
+    assert gold == {"2024-01-01": 2, "2024-01-02": 5, "2024-01-03": 2}
+
+    foreign = positions_frame(spark, [dict(feed="other", event_ts=day(5))])
+    sinks.overwrite_partitions(sinks.bronze_rows(foreign), folders[0], *sinks.LAKE_PARTITIONS)
+    with pytest.raises(quality.ExpectationFailed, match="silver.feed accepted_values: 1 rows"):
+        layers.run(spark, *folders)

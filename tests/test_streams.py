@@ -184,3 +184,40 @@ def test_keyed_messages_and_kafka_options(spark):
     assert options["subscribe"] == "delays,bunching" and options["startingOffsets"] == "earliest"
     assert options["maxOffsetsPerTrigger"] == "10"
     assert messages.kafka_options("h", "positions")["startingOffsets"] == "latest"
+
+
+def test_snapshots_hold_the_live_vehicles(spark, inbox, tmp_path):
+    inbox.put(message(1, 0, vehicle_id="A"), message(2, 100, vehicle_id="B"), message(3, 95, vehicle_id="A"),
+              message(4, 9, vehicle_id="gone"))
+    writer = jobs.snapshots(bronze(inbox.positions(spark)), str(tmp_path / "out"), str(tmp_path / "cp"),
+                            as_of=F.lit(START + timedelta(seconds=100)))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    bodies = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out" / "batch=0")).collect()]
+    assert sorted((v["vehicle_id"], v["entity_id"]) for b in bodies for v in b["data"]) == [("A", "e3"), ("B", "e2")]
+
+
+def test_the_alert_and_lake_jobs_end_to_end(spark, tmp_path):
+    inboxes = {"vehicle-positions": Inbox(tmp_path / "positions"), "trip-updates": Inbox(tmp_path / "updates")}
+    inboxes["vehicle-positions"].put(message(1, 0), message(2, 5), message(3, 5, vehicle_id=""))
+    inboxes["trip-updates"].put({"entity_id": "u1", "feed": "bmtc", "feed_type": "trip_updates",
+                                 "feed_timestamp": int(START.timestamp()) + 20, "ingested_at": 1, "trip_id": "T1",
+                                 "route_id": "R1", "vehicle_id": None, "stop_time_updates": [
+                                     {"stop_sequence": 1, "stop_id": "S1", "arrival_delay": 700},
+                                     {"stop_sequence": 2, "stop_id": "S2", "arrival_delay": 100}]})
+
+    def read(topic):
+        return messages.file_stream(spark, str(inboxes[topic].folder))
+
+    def write(df, topic, key):
+        return message_sinks.json_sink(df, str(tmp_path / topic), str(tmp_path / f"cp-{topic}"), key)
+
+    writers = jobs.alert_writers(read, write)
+    writers.append(jobs.bronze_writer(read, str(tmp_path / "bronze"), str(tmp_path / "cp-bronze")))
+    for query in lake.fan_out(*[w.trigger(availableNow=True) for w in writers]):
+        query.awaitTermination()
+    delays = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "delay-events")).collect()]
+    assert sorted((d["vehicle_id"], d["delay_sec"], d["alert_type"]) for d in delays) == [
+        ("V1", 700, "DELAY"), ("V2", 700, "DELAY")]
+    pairs = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "bunching-alerts")).collect()]
+    assert [(p["vehicle_id_a"], p["vehicle_id_b"], p["distance_m"]) for p in pairs] == [("V1", "V2", 0.0)]
+    assert spark.read.parquet(str(tmp_path / "bronze")).count() == 2
