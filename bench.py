@@ -11,11 +11,10 @@ from headway.registry import QUERIES
 from headway.session import local_session
 
 HEADLINE = (
-    "route_daily_kpis", "silver_positions", "dedup_positions", "route_speed_median",
-    "bronze_profile", "bronze_totals", "delay_alerts", "bunching_alerts", "bunching_alerts_900s",
-    "alerts_union", "route_vehicle_sessions", "latest_vehicle_state", "nearest_stop",
-    "route_deviation", "congestion_grid", "enriched_positions", "engineered_features",
-    "training_sequences", "gtfs_tables", "src_positions_json", "stream_delay_alerts",
+    "route_daily_kpis", "silver_positions", "bronze_profile", "bronze_totals", "delay_alerts",
+    "bunching_alerts", "bunching_alerts_900s", "route_vehicle_sessions", "latest_vehicle_state",
+    "nearest_stop", "route_deviation", "congestion_grid", "enriched_positions",
+    "engineered_features", "gtfs_tables", "src_positions_json", "stream_delay_alerts",
     "stream_bunching_alerts",
 )
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))

@@ -63,9 +63,11 @@ def live_route_members(spark, sf_dir):
 
 def sessions_sql(gap_s: int) -> str:
     return sql("positions", f"""
-        SELECT route_id, session_start, session_end, vehicle_id, count(*) AS observations
-        FROM (SELECT route_id, vehicle_id, min(event_ts) OVER s AS session_start,
-                max(event_ts) OVER s + interval '{gap_s} seconds' AS session_end
+        SELECT route_id, session_start, session_end, session_observations, vehicle_id, min(event_ts) AS first_seen,
+          max(event_ts) AS last_seen, count(*) AS observations
+        FROM (SELECT route_id, vehicle_id, event_ts, min(event_ts) OVER s AS session_start,
+                max(event_ts) OVER s + interval '{gap_s} seconds' AS session_end,
+                count(*) OVER s AS session_observations
               FROM (SELECT *, sum(opens) OVER (PARTITION BY route_id ORDER BY event_ts, ingested_at
                       ROWS UNBOUNDED PRECEDING) AS session_no
                     FROM (SELECT *, CASE WHEN event_ts <= lag(event_ts) OVER (
