@@ -198,7 +198,7 @@ def route_reliability(spark, sf_dir):
 
 @query("route_daily_kpis", sql("gold", "SELECT * FROM gold"))
 def route_daily_kpis(spark, sf_dir):
-    return kpis.presentation_order(kpis.gold_from_bronze(positions(spark, sf_dir)))
+    return kpis.gold_from_bronze(positions(spark, sf_dir))
 
 
 @query("rolling_speed", sql("daily", f"""

@@ -43,6 +43,12 @@ def overwrite_partitions(df: DataFrame, folder: str, *partition_by: str) -> None
      .option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(folder))
 
 
+def land_records(records: DataFrame, ingestion_date: str, folder: str) -> None:
+    """Unpacked schedule records as they came, by feed, date and table."""
+    overwrite_partitions(records.withColumn("ds", F.lit(ingestion_date)), folder,
+                         "feed_name", "ds", "table_name")
+
+
 def load_static(table: DataFrame, folder: str) -> None:
     """Bronze load of a schedule table that carries its load metadata."""
     overwrite_partitions(table, folder, "_feed_name", "_ingestion_date")

@@ -84,6 +84,12 @@ def typed(record_rows: DataFrame, table: str) -> DataFrame:
     return schedule.canonical_types(text, table)
 
 
+def landed_records(spark: SparkSession, folder: str, ingestion_date: str) -> DataFrame:
+    """Records landed for one date; only that date's folders are read."""
+    landed = spark.read.schema(RECORD_SCHEMA + ", ds string").parquet(folder)
+    return landed.where(F.col("ds") == ingestion_date).drop("ds")
+
+
 def missing(archive_rows: DataFrame, tables: Sequence[str]) -> DataFrame:
     """(feed_name, table_name) of wanted tables that an archive does not bring."""
     wanted = archive_rows.select("feed_name", F.explode(F.array(*[F.lit(t) for t in tables]))

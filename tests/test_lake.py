@@ -90,6 +90,13 @@ def test_rolling_mean_counts_rows_and_ranks_share_ties(spark):
     assert last == {"R1": 1, "R2": 1, "R4": 3, "R3": 4}
 
 
+def test_presentation_order(spark):
+    data = [("R1", "bmtc", "2024-01-01", 1.0), ("R2", "bmtc", "2024-01-02", None), ("R3", "bmtc", "2024-01-02", 2.0),
+            ("R4", "bmtc", "2024-01-02", 1.0), ("R5", "a", "2024-01-02", 9.0)]
+    gold = spark.createDataFrame(data, "route_id string, feed string, ingestion_date string, avg_speed_kmh double")
+    assert [r.route_id for r in kpis.presentation_order(gold).collect()] == ["R5", "R4", "R3", "R2", "R1"]
+
+
 def test_gold_shuffles_raw_rows_once(spark):
     frame = positions_frame(spark, [dict()])
     gold = kpis.gold_from_bronze(frame)
