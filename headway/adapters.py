@@ -168,26 +168,26 @@ def feed_messages(events: DataFrame) -> DataFrame:
     )
 
 
+def _stop_columns() -> list[Column]:
+    number = F.col("c_custkey")
+    return [F.concat(F.lit("S"), number).alias("stop_id"), F.col("c_name").alias("stop_name"),
+            (F.lit(12.9716) + (number % 400 - 200) * F.lit(0.002)).alias("stop_lat"),
+            (F.lit(77.5946) + (number % 300 - 150) * F.lit(0.002)).alias("stop_lon")]
+
+
 def stops(customer: DataFrame) -> DataFrame:
-    return customer.select(
-        F.concat(F.lit("S"), F.col("c_custkey")).alias("stop_id"),
-        F.col("c_name").alias("stop_name"),
-        (F.lit(12.9716) + (F.col("c_custkey") % 400 - 200) * F.lit(0.002)).alias("stop_lat"),
-        (F.lit(77.5946) + (F.col("c_custkey") % 300 - 150) * F.lit(0.002)).alias("stop_lon"),
-    )
+    return customer.select(*_stop_columns())
 
 
-def stops_text(customer: DataFrame) -> DataFrame:
+def stops_text(customer: DataFrame, *more: Column) -> DataFrame:
     """Stops as a schedule file carries them: text, some latitudes unreadable."""
-    flat = stops(customer)
-    number = F.substring("stop_id", 2, 20).cast("int")
-    return flat.select(
-        "stop_id", "stop_name",
-        F.when(number % 50 == 0, "bad").otherwise(F.col("stop_lat").cast("string"))
-        .alias("stop_lat"),
-        F.col("stop_lon").cast("string").alias("stop_lon"),
-        (number % 2).cast("string").alias("location_type"),
-    )
+    number = F.col("c_custkey")
+    stop_id, name, lat, lon = _stop_columns()
+    return customer.select(
+        stop_id, name,
+        F.when(number % 50 == 0, "bad").otherwise(lat.cast("string")).alias("stop_lat"),
+        lon.cast("string").alias("stop_lon"),
+        (number % 2).cast("string").alias("location_type"), *more)
 
 
 def routes(nation: DataFrame) -> DataFrame:
@@ -215,9 +215,7 @@ def schedule_rows(customer: DataFrame) -> DataFrame:
     """Schedule stops as text, dealt to feeds of at most 5,000 stops."""
     feed = F.concat(F.lit("feed-"), F.col("c_nationkey"), F.lit("-"),
                     F.floor(F.col("c_custkey") / 5000))
-    with_feed = customer.withColumn("feed_name", feed).select("c_custkey", "feed_name", "c_nationkey")
-    keyed = with_feed.withColumn("stop_id", F.concat(F.lit("S"), F.col("c_custkey")))
-    return stops_text(customer).join(keyed.drop("c_custkey"), "stop_id")
+    return stops_text(customer, feed.alias("feed_name"), F.col("c_nationkey"))
 
 
 def schedule_archives(customer: DataFrame) -> DataFrame:

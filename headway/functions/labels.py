@@ -19,7 +19,6 @@ UNKNOWN = "UNKNOWN"
 
 SPEED_CATEGORIES = ("STATIONARY", "SLOW", "NORMAL", "FAST")
 TIME_BUCKETS = ("AM_PEAK", "PM_PEAK", "NIGHT", "EARLY_MORNING", "OFFPEAK")
-ALERT_TYPES = ("DELAY", "EARLY", "BUNCHING", "ROUTE_DEVIATION")
 
 
 def speed_category(speed_mps: Column) -> Column:

@@ -130,8 +130,9 @@ def scaler_table(params: DataFrame) -> DataFrame:
 
 
 def _scaled(value: Column, low: float, high: float) -> Column:
+    """In single precision, as the samples are."""
     span = 1.0 if high == low else high - low
-    return ((value - F.lit(low)) / F.lit(span)).cast("float")
+    return ((value - F.lit(low).cast("float")) / F.lit(span).cast("float")).cast("float")
 
 
 def scale(samples: DataFrame, params: DataFrame) -> DataFrame:

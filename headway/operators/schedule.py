@@ -70,7 +70,7 @@ def with_checksum(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def feed_log_rows(loads: DataFrame) -> DataFrame:
-    """Log rows from (feed_name, ingestion_date, checksum, rows_loaded)."""
+    """Log rows from (feed_name, ingestion_date, checksum, rows_loaded); stamped when appended."""
     return loads.select(
         "feed_name", F.col("ingestion_date").cast("date").alias("ingestion_date"), "checksum",
         F.col("rows_loaded").cast("int").alias("rows_loaded"),

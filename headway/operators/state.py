@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from headway import schemas
 from headway.functions import geo, labels
 from headway.functions.numbers import blank_to_null
 from headway.operators import clean
@@ -82,17 +83,9 @@ def display_columns(df: DataFrame) -> DataFrame:
 
 # Record checks
 
-POSITION_REQUIRED = {"vehicle_id": "string", "latitude": "double", "longitude": "double",
-                     "timestamp": "bigint"}
-POSITION_DEFAULTS = {"bearing": ("double", 0.0), "speed_mps": ("double", 0.0),
-                     "current_status": ("string", ""), "feed": ("string", ""),
-                     "is_bunching": ("boolean", False)}
-POSITION_OPTIONAL = {"route_id": "string", "trip_id": "string", "eta_seconds": "int",
-                     "delay_seconds": "int"}
-
-
-def _typed(name: str, dtype: str) -> Column:
-    return F.col(name) if dtype == "string" else F.col(name).try_cast(dtype)
+POSITION_REQUIRED = ("vehicle_id", "latitude", "longitude", "timestamp")
+POSITION_DEFAULTS = {"bearing": 0.0, "speed_mps": 0.0, "current_status": "", "feed": "",
+                     "is_bunching": False}
 
 
 def checked_positions(records: DataFrame) -> DataFrame:
@@ -100,22 +93,19 @@ def checked_positions(records: DataFrame) -> DataFrame:
 
     A missing or unreadable required value and an unreadable optional value both reject.
     """
-    present = set(records.columns)
     reason = F.lit(None).cast("string")
-    out: dict[str, Column] = {}
-    for name, dtype in POSITION_REQUIRED.items():
-        out[name] = _typed(name, dtype)
-        reason = F.coalesce(reason, F.when(out[name].isNull(), name))
-    rest = {**{n: (t, None) for n, t in POSITION_OPTIONAL.items()}, **POSITION_DEFAULTS}
-    for name, (dtype, default) in rest.items():
-        if name not in present:
-            out[name] = F.lit(default).cast(dtype)
+    out: list[Column] = []
+    for field in schemas.API_POSITION:
+        name, dtype = field.name, field.dataType
+        default = F.lit(POSITION_DEFAULTS.get(name)).cast(dtype)
+        if name not in records.columns:
+            out.append(default.alias(name))
             continue
-        value = _typed(name, dtype)
-        reason = F.coalesce(reason, F.when(F.col(name).isNotNull() & value.isNull(), name))
-        out[name] = value if default is None else F.coalesce(value, F.lit(default))
-    return records.select(*[expr.alias(name) for name, expr in out.items()],
-                          reason.alias("reject_reason"))
+        value = F.col(name).try_cast(dtype)
+        bad = value.isNull() if name in POSITION_REQUIRED else F.col(name).isNotNull() & value.isNull()
+        reason = F.coalesce(reason, F.when(bad, name))
+        out.append(F.coalesce(value, default).alias(name))
+    return records.select(*out, reason.alias("reject_reason"))
 
 
 def valid_positions(records: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from conftest import positions_frame, rows
 from pyspark.sql import functions as F
 
 from headway import schemas
-from headway.functions import geo
-from headway.operators import clean, explore, kpis, quality
+from headway.functions import geo, numbers
+from headway.operators import alerts, clean, explore, kpis, model, quality, schedule
 from headway.plans import layers
 from headway.sinks import lake as sinks
 from headway.sources import lake
@@ -193,3 +193,27 @@ def test_daily_run_builds_both_layers_and_checks(spark, tmp_path):
     sinks.overwrite_partitions(sinks.bronze_rows(foreign), folders[0], *sinks.LAKE_PARTITIONS)
     with pytest.raises(quality.ExpectationFailed, match="silver.feed accepted_values: 1 rows"):
         layers.run(spark, *folders)
+
+
+def layout(schema):
+    return [(f.name, f.dataType) for f in schema]
+
+
+def test_outputs_have_the_declared_layouts(spark, tmp_path):
+    frame = positions_frame(spark, [dict()])
+    updates = spark.createDataFrame([], "trip_id string, route_id string, arrival_delay int, event_ts timestamp")
+    assert layout(alerts.delay_alerts(frame, updates).schema) == layout(schemas.DELAY_EVENT)
+    assert layout(alerts.bunching_alerts(frame).schema) == layout(schemas.BUNCHING_ALERT)
+    assert layout(sinks.bronze_rows(frame).schema) == layout(schemas.BRONZE_POSITION)
+    loads = spark.createDataFrame([("f", "2024-01-01", "c", 0)],
+                                  "feed_name string, ingestion_date string, checksum string, rows_loaded long")
+    sinks.append_feed_log(schedule.feed_log_rows(loads), str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    assert layout(log.schema) == layout(schemas.FEED_LOG) and log.first().status == "empty"
+    record = model.model_record(spark, "m", "1", "Staging", "uri")
+    assert layout(record.schema) == layout(schemas.MODEL_RECORD)
+
+
+def test_clip(spark):
+    values = spark.createDataFrame([(-1.0,), (0.4,), (3.0,)], "v double")
+    assert [r[0] for r in values.select(numbers.clip(F.col("v"), 0.0, 1.0)).collect()] == [0.0, 0.4, 1.0]
