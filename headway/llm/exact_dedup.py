@@ -137,6 +137,5 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with their columns."""
-    gone = exact_groups(docs).where("NOT kept").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    """The documents that stay, with their columns; rows without an id always stay."""
+    return tx.without(docs, exact_groups(docs), F.col("kept"))

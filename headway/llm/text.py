@@ -36,6 +36,13 @@ def given_id(column: str = "doc_id") -> Column:
     return F.when(F.col(column) != NO_ID, F.col(column)).alias(column)
 
 
+def without(docs: DataFrame, judged: DataFrame, stays: Column) -> DataFrame:
+    """The documents less the ids all of whose judged rows fail ``stays``."""
+    gone = judged.groupBy(F.col("doc_id").alias("gone_id")).agg(F.max(stays).alias("stays")) \
+        .where("NOT stays").select("gone_id")
+    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int = 1,
            limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows in batches of at most ``limit`` bytes of text, or of one row."""
