@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from headway.llm import decontaminate, exact_dedup, language, licenses, near_dedup, packing
+from headway.llm import decontaminate, exact_dedup, language, licenses, near_dedup, packing, pages, pii
 from headway.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,16 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(table(spark, sf_dir, "documents"))
 
 
+@query("op7_pii")
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(table(spark, sf_dir, "documents"))
+
+
+@query("op8_html_extraction")
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extracted(table(spark, sf_dir, "pages"))
+
+
 EXACT_SQL = r"""
 WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n,
     regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents)
