@@ -74,8 +74,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 BYTE_VALUE = mixed(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 2**64)
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 @lru_cache(4)
@@ -85,12 +84,13 @@ def _powers(base: int, bits: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, from differences of one running sum."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """64-bit hashes of byte spans, from differences of one running sum; ``which`` of two functions."""
+    base = _BASES[which]
     bits = max(16, int(len(data)).bit_length())
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUE[data] * _powers(_BASE, bits)[:len(data)], out=total[1:])
-    spans = (total[ends] - total[starts]) * _powers(_INVERSE, bits)[starts]
+    np.cumsum(BYTE_VALUE[data] * _powers(base, bits)[:len(data)], out=total[1:])
+    spans = (total[ends] - total[starts]) * _powers(pow(base, -1, 2**64), bits)[starts]
     return mixed(spans + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
