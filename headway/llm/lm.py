@@ -23,8 +23,8 @@ from headway.llm import subwords, text as tx
 from headway.llm.language import held_out
 from headway.session import materialise
 
-CONTEXT, STRIDE = 32, 24
-WIDTH, CLASSES, SLOTS = 16, 64, 1024
+CONTEXT, STRIDE = 32, 26
+WIDTH, CLASSES, SLOTS = 16, 48, 1024
 #: Slot 0 is the start of a text, the last one holds all tokens without a slot of their own.
 RARE = SLOTS - 1
 HEAD = 1 << 18
@@ -32,6 +32,8 @@ TRAIN_WINDOWS, ROUNDS, BATCH, RATE = 6000, 450, 96, 0.02
 SMOOTH = 0.1
 BIGRAM_WEIGHT = 20.0
 WINDOWS_AT_ONCE = 256
+_CAUSAL = np.tril(np.ones((CONTEXT, CONTEXT), np.float32))
+_ONES = np.ones(CLASSES, np.float32)
 
 
 def token_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -59,6 +61,7 @@ class Model:
     share: np.ndarray              # probability of a slot in its class
     bigram: np.ndarray             # slot before, slot -> probability
     p: dict[str, np.ndarray]
+    steep: bool = True
 
     def fit(self, x: np.ndarray, y: np.ndarray, seed: int = 5) -> Model:
         """Windows of slots, and the slots that follow; -1 where there is none."""
@@ -118,28 +121,35 @@ class Model:
         """Query, key, value and residual of every slot and of every place."""
         every = np.concatenate([self.p[k] for k in "qkvr"], 1)
         every[:, :WIDTH] *= WIDTH ** -0.5
-        return self.p["embed"] @ every, self.p["place"] @ every
-
-    def log_probabilities(self, x: np.ndarray, y: np.ndarray, tables) -> np.ndarray:
-        """log10 probabilities of slots ``y`` after the windows ``x`` up to each place."""
+        of_slot, of_place = self.p["embed"] @ every, self.p["place"] @ every
+        longest = [np.linalg.norm(of_slot[:, k:k + WIDTH], axis=1).max()
+                   + np.linalg.norm(of_place[:, k:k + WIDTH], axis=1).max() for k in (0, WIDTH)]
+        # Whether exponents could leave the range of single precision.
+        self.steep = max(longest[0] * longest[1],
+                         (np.abs(self.p["out"]).sum(0) + np.abs(self.p["bias"])).max()) > 60
+        return of_slot, of_place
+
+    def log_probabilities(self, x: np.ndarray, y: np.ndarray, scored: np.ndarray, tables) -> np.ndarray:
+        """log10 probabilities of the slots ``y`` at the scored places of the windows ``x``."""
         of_slot, of_place = tables
         e = of_slot[x] + of_place
         s = e[..., :WIDTH] @ e[..., WIDTH:2 * WIDTH].transpose(0, 2, 1)
-        np.exp(np.minimum(s, 60.0, out=s), out=s)
-        s *= np.tril(np.ones((CONTEXT, CONTEXT), np.float32))
-        z = s @ e[..., 2 * WIDTH:3 * WIDTH]
-        z /= s.sum(2, keepdims=True)
-        z += e[..., 3 * WIDTH:]
+        np.exp(np.minimum(s, 60.0, out=s) if self.steep else s, out=s)
+        s *= _CAUSAL
+        # A column of ones beside the values gives the sum of the weights.
+        values = np.ones((*x.shape, WIDTH + 1), np.float32)
+        values[..., :WIDTH] = e[..., 2 * WIDTH:3 * WIDTH]
+        mean = (s @ values)[scored]
+        z = mean[:, :WIDTH] / mean[:, WIDTH:]
+        z += e[..., 3 * WIDTH:][scored]
         np.tanh(z, out=z)
-        flat = z.reshape(-1, WIDTH)
-        logits = flat @ self.p["out"]
+        logits = z @ self.p["out"]
         logits += self.p["bias"]
-        np.exp(np.minimum(logits, 60.0, out=logits), out=logits)
-        to = y.ravel()
-        own = logits[np.arange(len(to)), self.of_class[to]] / logits.sum(1) * self.share[to]
-        gate = 1 / (1 + np.exp(-(flat @ self.p["gate"] + self.p["lean"])))
-        mix = gate * own + (1 - gate) * self.bigram[x.ravel(), to]
-        return np.log10(np.maximum(mix, 1e-30)).reshape(x.shape)
+        np.exp(np.minimum(logits, 60.0, out=logits) if self.steep else logits, out=logits)
+        to = y[scored]
+        own = logits[np.arange(len(to)), self.of_class[to]] / (logits @ _ONES) * self.share[to]
+        gate = 1 / (1 + np.exp(-(z @ self.p["gate"] + self.p["lean"])))
+        return np.log10(np.maximum(gate * own + (1 - gate) * self.bigram[x[scored], to], 1e-30))
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each text of ids, its end included."""
@@ -163,8 +173,8 @@ class Model:
             live = at < (starts + sizes)[of[rows], None]
             at = np.where(live, at, 0)
             scored = live & ((number[rows, None] == 0) | (places >= CONTEXT - STRIDE))
-            found = self.log_probabilities(before[at], after[at], tables)
-            out += np.bincount(of[rows], (found * scored).sum(1), minlength=len(sizes))
+            found = self.log_probabilities(before[at], after[at], scored, tables)
+            out += np.bincount(np.repeat(of[rows], scored.sum(1)), found, minlength=len(sizes))
         return out
 
 
@@ -211,7 +221,7 @@ def _counted(rows: DataFrame, keys_of) -> DataFrame:
     """Counts of integer keys that ``keys_of`` finds in a list of id arrays, summed by task and by Spark."""
 
     def run(batches):
-        for batch in tx.slices(batches, text=0, limit=16 << 20):
+        for batch in tx.slices(batches, text=0):
             keys = keys_of([np.frombuffer(r, "<u2") for r in batch.column(0).to_pylist()])
             found, n = np.unique(keys, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))],
@@ -268,7 +278,7 @@ def trained(ids: DataFrame, vocabulary: int) -> Model:
 
 
 def _word_counts(batches):
-    for batch in tx.slices(batches, limit=16 << 20):
+    for batch in tx.slices(batches):
         found, n = np.unique(tx.word_hashes(*tx.flat(batch.column(1)))[0], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(tx.signed(found)), pa.array(n.astype(np.int64))],
                                          names=["word", "n"])

@@ -4,9 +4,10 @@ Prefix doubling names the string of length 2h at a position by the pair of names
 further on; positions whose name is unique drop out, and it ends past the threshold. Here the names up
 to ``GRAM`` bytes are doubled inside a task. Every string of ``SPAN`` bytes is then represented by its
 smallest gram, so equal strings have equal representatives; strings in a row with the same one form a run.
-Spark sorts the runs by rank: first by the name of the gram, where unique ones drop out, then by the
-pair of gram and whole run, where all but the first of equal runs are repeats as a whole. Only runs
-that share a gram with a different run go on, position by position, to names of ``SPAN`` bytes.
+Spark sorts the runs by rank: by the name of the gram, where unique ones drop out, and by the pair of
+gram and whole run, where all but the first of equal runs are repeats as a whole. Runs that share a
+gram with a different run go on to the next length of gram, and past the last one, position by
+position, to names of ``SPAN`` bytes.
 
 Before each sort a task keeps the first of its equal rows, so a string that is repeated everywhere
 sends one row per task and batch. Gram names only find candidates; what is removed rests on names of 128 bits.
@@ -22,24 +23,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from headway.llm import text as tx
-from headway.session import materialise
 
 SPAN = 100
-GRAM = 32
-GRAMS = SPAN - GRAM + 1          # grams in a string
+#: Lengths of the ranks that Spark sorts before those of whole strings.
+GRAMS = (32, 80)
 #: Bytes whose names are held at a time, and bytes whose runs are compared before they are sent.
 AT_ONCE, TOGETHER = 1 << 18, 16 << 20
-FOUND = "kind int, name long, run long, doc_id long, start long, stop long"
+FOUND = "name long, run long, doc_id long, start long, more long"
+#: Kinds of rows, kept with the length: more = 4 * (stop - start) + kind.
 FIRST, MIXED, REPEAT, OPEN = range(4)
 _MULT = 0x9E3779B97F4A7C15 | 1
+_NONE = (np.zeros(0, np.int64),) * 3
 
 
-def gram_names(data: np.ndarray) -> np.ndarray:
+def gram_names(data: np.ndarray, length: int) -> np.ndarray:
     """Names of the grams at all positions, doubled from single bytes."""
     names, size = tx.BYTE_VALUE[data], 1
-    while size < GRAM:
-        names = names[:-size] * np.uint64(pow(_MULT, size, 2**64)) + names[size:]
-        size *= 2
+    while size < length:
+        further = min(size, length - size)
+        names = names[:-further] * np.uint64(pow(_MULT, 2 * size, 2**64)) + names[further:]
+        if further < size:
+            names = tx.mixed(names)
+        size += further
     return tx.mixed(names)
 
 
@@ -53,25 +58,29 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(out[:-rest], out[rest:]) if rest else out
 
 
-def runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+def runs(data: np.ndarray, bounds: np.ndarray, length: int,
+         among: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Runs of strings with one representative: row, first and last start in the row, gram, whether some
-    string may repeat within the run, and the name of the run's bytes."""
+    string may repeat within the run, and the name of the run's bytes. ``among``: only these starts."""
+    width = SPAN - length + 1
     none = np.zeros(0, np.int64)
     if len(data) < SPAN:
         return none, none, none, none.astype(np.uint64), none.astype(bool), none.astype(np.uint64)
-    grams = gram_names(data)
-    least = _sliding(grams, GRAMS, np.minimum)
+    grams = gram_names(data, length)
+    least = _sliding(grams, width, np.minimum)
     row = np.searchsorted(bounds, np.arange(len(least)), "right") - 1
     inside = np.arange(len(least)) + SPAN <= bounds[1:][row]
+    if among is not None:
+        inside &= among[:len(inside)]
     least = np.where(inside, least, np.uint64(0))
     change = np.append(True, least[1:] != least[:-1])
     first = np.flatnonzero(change & inside)
     last = np.flatnonzero(np.append(change[1:], True) & inside)
     # Positions of the representatives; a run with two of them may repeat a string within itself.
-    padded = np.concatenate([np.zeros(GRAMS - 1, np.uint64), least, np.zeros(GRAMS - 1, np.uint64)])
-    at = np.flatnonzero(_sliding(padded, GRAMS, np.maximum) == grams)
-    lo, hi = np.searchsorted(at, first), np.searchsorted(at, last + GRAMS - 1, "right")
-    many = last - first + 1 > GRAMS
+    padded = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
+    at = np.flatnonzero(_sliding(padded, width, np.maximum) == grams)
+    lo, hi = np.searchsorted(at, first), np.searchsorted(at, last + width - 1, "right")
+    many = last - first + 1 > width
     found = np.zeros(len(first), np.int64)
     for k in range(int((hi - lo)[~many].max(initial=0))):
         has = ~many & (lo + k < hi)
@@ -97,12 +106,16 @@ def _merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nd
 
 
 def _rows(parts: list[tuple]) -> pa.RecordBatch:
-    """Record batch from (kind, name, run, doc, start, stop)."""
-    parts = [[np.broadcast_to(x, p[3].shape) for x in p] for p in parts]
-    columns = [np.concatenate([x.view(np.int64) if x.dtype == np.uint64 else x for x in column])
-               for column in zip(*parts)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns],
-                                      names=["kind", "name", "run", "doc_id", "start", "stop"])
+    """Record batch from parts (kind, name, run, doc, start, stop)."""
+    columns = [[name, run, doc, start, 4 * (stop - start) + kind]
+               for kind, name, run, doc, start, stop in parts]
+    whole = [np.concatenate([np.asarray(x).view(np.int64) for x in column]) for column in zip(*columns)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in whole],
+                                      names=["name", "run", "doc_id", "start", "more"])
+
+
+def _passed(doc: np.ndarray, start: np.ndarray, stop: np.ndarray, kind: int) -> tuple:
+    return kind, _apart(doc, start), doc * 0, doc, start, stop
 
 
 def _apart(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -110,7 +123,7 @@ def _apart(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     return tx.mixed(doc.astype(np.uint64) * np.uint64(_MULT) + start.astype(np.uint64))
 
 
-def _compare_runs(doc, start, last, gram, several, name) -> pa.RecordBatch:
+def _compare_runs(known, doc, start, last, gram, several, name) -> pa.RecordBatch:
     """What a task knows of its runs: the first of a gram, repeats, and runs to look at in full."""
     order = np.lexsort((start, doc, name, gram))
     doc, start, last, gram, several, name = (x[order] for x in (doc, start, last, gram, several, name))
@@ -125,68 +138,73 @@ def _compare_runs(doc, start, last, gram, several, name) -> pa.RecordBatch:
     repeat = later & ~several
     opened = mixed & ~repeat
     first = ~mixed & new_run
-    r_doc, r_start, r_stop = _merged(doc[repeat], start[repeat], last[repeat] + SPAN)
     marker = new_gram & mixed
     zero = np.zeros(int(marker.sum()), np.int64)
     return _rows([
-        (np.int32(FIRST), gram[first], name[first], doc[first], start[first], last[first]),
-        (np.int32(MIXED), gram[marker], zero, zero, zero, zero),
-        (np.int32(REPEAT), _apart(r_doc, r_start), r_doc * 0, r_doc, r_start, r_stop),
-        (np.int32(OPEN), _apart(doc[opened], start[opened]), doc[opened] * 0, doc[opened], start[opened],
-         last[opened])])
+        (FIRST, gram[first], name[first], doc[first], start[first], last[first]),
+        (MIXED, gram[marker], zero, zero, zero, zero),
+        _passed(*_merged(np.append(known[0], doc[repeat]), np.append(known[1], start[repeat]),
+                         np.append(known[2], last[repeat] + SPAN)), REPEAT),
+        _passed(doc[opened], start[opened], last[opened], OPEN)])
 
 
-def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kept, size = [], 0
-    for batch in tx.slices(batches, limit=AT_ONCE):
-        data, bounds = tx.flat(batch.column(1))
-        row, *rest = runs(data, bounds)
-        ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        kept.append((ids[row], *rest))
-        size += len(data)
-        if size > TOGETHER:
-            yield _compare_runs(*(np.concatenate(x) for x in zip(*kept)))
-            kept, size = [], 0
-    if kept:
-        yield _compare_runs(*(np.concatenate(x) for x in zip(*kept)))
-
-
-def _compare_strings(doc, start, one, two) -> pa.RecordBatch:
+def _joined(parts: list[tuple]) -> tuple[np.ndarray, ...]:
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _compare_strings(known, doc, start, one, two) -> pa.RecordBatch:
     order = np.lexsort((start, doc, two, one))
     doc, start, one, two = (x[order] for x in (doc, start, one, two))
     new = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))[:len(one)]
     head = np.maximum.accumulate(np.where(new, np.arange(len(one)), 0))
     later = (doc != doc[head]) | (start != start[head])
-    r_doc, r_start, r_stop = _merged(doc[later], start[later], start[later] + SPAN)
-    return _rows([(np.int32(FIRST), one[new], two[new], doc[new], start[new], start[new] + SPAN),
-                  (np.int32(REPEAT), _apart(r_doc, r_start), r_doc * 0, r_doc, r_start, r_stop)])
+    return _rows([
+        (FIRST, one[new], two[new], doc[new], start[new], start[new]),
+        _passed(*_merged(np.append(known[0], doc[later]), np.append(known[1], start[later]),
+                         np.append(known[2], start[later] + SPAN)), REPEAT)])
 
 
-def _find_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Names of all strings of the open runs; input doc_id, text, firsts, lasts."""
-    kept, size = [], 0
-    for batch in tx.slices(batches, limit=AT_ONCE):
-        data, bounds = tx.flat(batch.column(1))
-        lists = [batch.column(k).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3)]
-        many = np.array([len(x) for x in batch.column(2)], np.int64)
-        row = np.repeat(np.arange(len(many)), many)
-        sizes = lists[1] - lists[0] + 1
-        each = np.repeat(np.arange(len(sizes)), sizes)
-        start = np.arange(len(each)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + lists[0][each]
-        row = row[each]
-        # Rows that repeat an id may be shorter than the one the run was found in.
-        fits = bounds[row] + start + SPAN <= bounds[row + 1]
-        row, start = row[fits], start[fits]
-        place = bounds[row] + start
-        ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        kept.append((ids[row], start, tx.span_hashes(data, place, place + SPAN),
-                     tx.span_hashes(data, place, place + SPAN, 1)))
-        size += len(start)
-        if size > TOGETHER // 8:
-            yield _compare_strings(*(np.concatenate(x) for x in zip(*kept)))
-            kept, size = [], 0
-    if kept:
-        yield _compare_strings(*(np.concatenate(x) for x in zip(*kept)))
+def _round(length: int | None):
+    """A task's share of one round: runs by grams of a length, or with None whole strings.
+
+    Input: doc_id, text and, after the first round, kinds, starts and stops of what is known of the text.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, known, size = [], [], 0
+        compare = _compare_strings if length is None else _compare_runs
+        for batch in tx.slices(batches, limit=AT_ONCE):
+            data, bounds = tx.flat(batch.column(1))
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            among = None
+            if batch.num_columns > 2:
+                row = np.repeat(np.arange(len(ids)), [len(x) for x in batch.column(2)])
+                kind, start, stop = (batch.column(k).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                                     for k in (2, 3, 4))
+                done = kind == REPEAT
+                known.append((ids[row[done]], start[done], stop[done]))
+                place = bounds[row[~done]]
+                edges = np.zeros(len(data) + 2, np.int64)
+                # Rows that repeat an id may be shorter than the one a run was found in.
+                np.add.at(edges, np.minimum(place + start[~done], len(data)), 1)
+                np.add.at(edges, np.minimum(place + stop[~done] + 1, len(data)), -1)
+                among = np.cumsum(edges)[:len(data)] > 0
+            if length is None:
+                row = np.searchsorted(bounds, np.arange(len(data)), "right") - 1
+                at = np.flatnonzero(among & (np.arange(len(data)) + SPAN <= bounds[1:][row]))
+                kept.append((ids[row[at]], at - bounds[row[at]], *(
+                    tx.span_hashes(data, at, at + SPAN, k) for k in (0, 1))))
+                size += 16 * len(at)
+            else:
+                row, *rest = runs(data, bounds, length, among)
+                kept.append((ids[row], *rest))
+                size += len(data)
+            if size > TOGETHER:
+                yield compare(_joined(known or [_NONE]), *_joined(kept))
+                kept, known, size = [], [], 0
+        if kept:
+            yield compare(_joined(known or [_NONE]), *_joined(kept))
+
+    return run
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,31 +238,42 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, start, stop (bytes) of strings that start earlier elsewhere; intervals may overlap."""
-    texts = tx.plain(docs)
-    by_gram = Window.partitionBy("name").orderBy("run", "doc_id", "start")
-    whole = by_gram.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+def _judged(found: DataFrame) -> DataFrame:
+    """Sort the rows by rank: (doc_id, kind, start, stop) of repeats and of what is still open."""
+    rows = found.select("name", "run", "doc_id", "start", F.pmod("more", F.lit(4)).cast("int").alias("kind"),
+                        (F.col("start") + F.shiftright("more", 2)).alias("stop"))
+    by_name = Window.partitionBy("name").orderBy("run", "doc_id", "start")
+    whole = by_name.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first = F.when(F.col("kind") == FIRST, F.col("run"))
-    ranked = texts.mapInArrow(_find_runs, FOUND).withColumns({
+    ranked = rows.withColumns({
         "mixed": F.max((F.col("kind") == MIXED).cast("int")).over(whole),
         "low": F.min(first).over(whole), "high": F.max(first).over(whole),
-        "rank": F.rank().over(Window.partitionBy("name", "kind", "run").orderBy("doc_id", "start"))})
-    judged = ranked.where(f"kind <> {MIXED}").select(
-        "doc_id", "start",
-        F.when((F.col("kind") == FIRST) & (F.col("rank") > 1), F.col("stop") + SPAN).otherwise(F.col("stop")).alias("stop"),
-        F.when(F.col("kind") != FIRST, F.col("kind")).when(F.col("rank") > 1, F.lit(REPEAT))
-        .when((F.col("mixed") == 1) | (F.col("low") != F.col("high")), F.lit(OPEN)).alias("kind"))
-    judged = materialise(judged.where("kind IS NOT NULL"), "runs")
-
-    opened = judged.where(f"kind = {OPEN}").groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("o"))
-    strings = texts.join(opened, "doc_id").select(
-        "doc_id", "text", F.col("o.start").alias("firsts"), F.col("o.stop").alias("lasts")) \
-        .mapInArrow(_find_strings, FOUND)
-    again = strings.withColumn("rank", F.rank().over(
-        Window.partitionBy("name", "run", "kind").orderBy("doc_id", "start"))) \
-        .where(f"kind = {REPEAT} OR rank > 1").select("doc_id", "start", "stop")
-    return judged.where(f"kind = {REPEAT}").select("doc_id", "start", "stop").union(again)
+        "rank": F.rank().over(Window.partitionBy("name", "run").orderBy("doc_id", "start"))})
+    again = (F.col("kind") == FIRST) & (F.col("rank") > 1)
+    kind = F.when(F.col("kind") != FIRST, F.col("kind")).when(F.col("rank") > 1, F.lit(REPEAT)) \
+        .when((F.col("mixed") == 1) | (F.col("low") != F.col("high")), F.lit(OPEN))
+    return ranked.select("doc_id", kind.alias("kind"), "start",
+                         F.when(again, F.col("stop") + SPAN).otherwise(F.col("stop")).alias("stop")) \
+        .where(f"kind <> {MIXED}")
+
+
+def _repeats(found: DataFrame) -> DataFrame:
+    """The same after the last round, where every name is of one string."""
+    rank = F.rank().over(Window.partitionBy("name", "run").orderBy("doc_id", "start"))
+    rows = found.withColumn("rank", rank)
+    kind = F.pmod("more", F.lit(4))
+    return rows.where((kind == REPEAT) | (F.col("rank") > 1)).select(
+        "doc_id", F.lit(REPEAT).alias("kind"), "start",
+        (F.col("start") + F.when(kind == REPEAT, F.shiftright("more", 2)).otherwise(SPAN)).alias("stop"))
+
+
+def _beside(texts: DataFrame, judged: DataFrame, how: str) -> DataFrame:
+    """The texts with what is known of them; the texts' exchange is the same in every round."""
+    listed = judged.groupBy(F.col("doc_id").alias("of_id")).agg(
+        F.collect_list(F.struct("kind", "start", "stop")).alias("k"))
+    return texts.join(listed.hint("shuffle_merge"), F.col("doc_id") == F.col("of_id"), how).select(
+        "doc_id", "text", F.col("k.kind").alias("kinds"), F.col("k.start").alias("starts"),
+        F.col("k.stop").alias("stops"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -255,8 +284,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     that repeat an id are the same document: they neither remove from each other nor differ in what
     is removed. An empty table gives no rows.
     """
-    spans = repeated_spans(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("s"))
-    return tx.plain(docs).join(spans, "doc_id", "left").select(
-        "doc_id", "text", F.col("s.start").alias("starts"), F.col("s.stop").alias("stops")).mapInArrow(
+    texts = tx.plain(docs)
+    judged = _judged(texts.mapInArrow(_round(GRAMS[0]), FOUND))
+    for length in GRAMS[1:]:
+        judged = _judged(_beside(texts, judged, "inner").mapInArrow(_round(length), FOUND))
+    repeats = _repeats(_beside(texts, judged, "inner").mapInArrow(_round(None), FOUND))
+    return _beside(texts, repeats, "left").select("doc_id", "text", "starts", "stops").mapInArrow(
         _finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string") \
         .withColumn("doc_id", tx.given_id())

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 NO_ID = 2**63 - 1
 #: A task works on so many bytes of text at a time; a longer text is taken alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
