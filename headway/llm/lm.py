@@ -198,8 +198,8 @@ def prepared(unigrams: np.ndarray, bigrams: np.ndarray, slot: np.ndarray, seed:
     for _ in range(12):
         near = ((vectors[rest, None] - centres[None]) ** 2).sum(2).argmin(1)
         for c in range(len(centres)):
-            if (near == c).any():
-                w = of_slot[rest[near == c]]
+            w = of_slot[rest[near == c]]
+            if w.sum() > 0:
                 centres[c] = (vectors[rest[near == c]] * w[:, None]).sum(0) / w.sum()
     of_class = np.zeros(SLOTS, np.int64)
     of_class[order[:alone]] = np.arange(alone)
@@ -214,6 +214,7 @@ def prepared(unigrams: np.ndarray, bigrams: np.ndarray, slot: np.ndarray, seed:
           "place": 0.1 * r.standard_normal((CONTEXT, WIDTH)).astype(np.float32),
           "out": init(WIDTH, CLASSES), "bias": np.zeros(CLASSES, np.float32),
           "gate": np.zeros(WIDTH, np.float32), "lean": np.zeros(1, np.float32)}
+    p["bias"][np.bincount(of_class, minlength=CLASSES) == 0] = -40.0
     return Model(size, slot, within, of_class, share.astype(np.float32), bigram.astype(np.float32), p)
 
 

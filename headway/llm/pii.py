@@ -27,8 +27,8 @@ WINDOW, STEP, MARGIN = 64, 32, 24
 HIDDEN, EMBEDDED = 16, 12
 SAMPLE_DOCS = 300
 SAMPLE_WINDOWS = 600
-MADE_UP = 900
-ROUNDS, BATCH, RATE = 260, 64, 0.02
+MADE_UP = 1600
+ROUNDS, BATCH, RATE = 420, 64, 0.02
 SYMBOLS = 130                     # ASCII, other letters, anything else
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -309,8 +309,9 @@ def made_up(n: int, seed: int = 3) -> list[tuple[str, list[Span]]]:
     out = []
     for _ in range(n):
         text, spans = "", []
+        plain = r.choice((2, 6, 16))
         while len(text) < WINDOW:
-            kind = r.choice((None, None, None, *KINDS))
+            kind = r.choice((*[None] * plain, *KINDS))
             if kind:
                 piece = secret(kind)
                 spans.append((len(text), kind, len(text) + len(piece)))
