@@ -20,6 +20,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from headway.llm import text as tx
@@ -29,6 +31,7 @@ SPAN = 100
 GRAMS = (32, 80)
 #: Bytes whose names are held at a time, and bytes whose runs are compared before they are sent.
 AT_ONCE, TOGETHER = 1 << 18, 16 << 20
+PACKED_ROWS = 256
 FOUND = "name long, run long, doc_id long, start long, more long"
 #: Kinds of rows, kept with the length: more = 4 * (stop - start) + kind.
 FIRST, MIXED, REPEAT, OPEN = range(4)
@@ -148,6 +151,25 @@ def _compare_runs(known, doc, start, last, gram, several, name) -> pa.RecordBatc
         _passed(doc[opened], start[opened], last[opened], OPEN)])
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, for the exchange that all rounds read."""
+    for batch in tx.slices(batches):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        raw = pc.fill_null(batch.column(1).cast(pa.binary()), b"").to_pylist()
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze(r) for r in raw], pa.binary())],
+                                         names=["doc_id", "text"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, texts as they were."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PACKED_ROWS):
+            part = batch.slice(at, PACKED_ROWS)
+            expand = zstandard.ZstdDecompressor().decompress
+            texts = pa.array([expand(r) for r in part.column(1).to_pylist()], pa.large_binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), texts, *part.columns[2:]], names=part.schema.names)
+
+
 def _joined(parts: list[tuple]) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*parts))
 
@@ -164,7 +186,7 @@ def _compare_strings(known, doc, start, one, two) -> pa.RecordBatch:
                          np.append(known[2], start[later] + SPAN)), REPEAT)])
 
 
-def _round(length: int | None):
+def _round(length: int | None, first: bool = False):
     """A task's share of one round: runs by grams of a length, or with None whole strings.
 
     Input: doc_id, text and, after the first round, kinds, starts and stops of what is known of the text.
@@ -172,11 +194,11 @@ def _round(length: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, known, size = [], [], 0
         compare = _compare_strings if length is None else _compare_runs
-        for batch in tx.slices(batches, limit=AT_ONCE):
+        for batch in tx.slices(batches if first else _unpacked(batches), limit=AT_ONCE):
             data, bounds = tx.flat(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             among = None
-            if batch.num_columns > 2:
+            if not first:
                 row = np.repeat(np.arange(len(ids)), [len(x) for x in batch.column(2)])
                 kind, start, stop = (batch.column(k).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                                      for k in (2, 3, 4))
@@ -209,7 +231,7 @@ def _round(length: int | None):
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Input doc_id, text, starts, stops; the digest of what is left of each text."""
-    for batch in tx.slices(batches):
+    for batch in tx.slices(_unpacked(batches)):
         data, bounds = tx.flat(batch.column(1))
         raw = data.tobytes()
         starts, stops = batch.column(2).to_pylist(), batch.column(3).to_pylist()
@@ -284,8 +306,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     that repeat an id are the same document: they neither remove from each other nor differ in what
     is removed. An empty table gives no rows.
     """
-    texts = tx.plain(docs)
-    judged = _judged(texts.mapInArrow(_round(GRAMS[0]), FOUND))
+    judged = _judged(tx.plain(docs).mapInArrow(_round(GRAMS[0], first=True), FOUND))
+    texts = tx.plain(docs).mapInArrow(_packed, "doc_id long, text binary")
     for length in GRAMS[1:]:
         judged = _judged(_beside(texts, judged, "inner").mapInArrow(_round(length), FOUND))
     repeats = _repeats(_beside(texts, judged, "inner").mapInArrow(_round(None), FOUND))
