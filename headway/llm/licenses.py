@@ -183,13 +183,12 @@ def detections(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     table = F.broadcast(spark.createDataFrame(
         rules(), "rule int, label string, keyword string, hint string, pattern string, confidence double"))
-    keywords = sorted({k for _, _, k, _, _, _ in rules()})
-    lower = F.translate(F.col("text"), tx.ASCII_UPPER, tx.ASCII_LOWER)
-    some = docs.where(F.exists(F.array(*map(F.lit, keywords)), lambda k: F.contains(lower, k)))
-    words = some.select("doc_id", spread(F.col("text")).alias("words"))
-    keyed = words.select("doc_id", "words", F.explode(F.filter(
-        F.array(*map(F.lit, keywords)),
-        lambda k: F.contains(F.col("words"), F.concat(F.lit(" "), k, F.lit(" "))))).alias("keyword"))
+    words = docs.select("doc_id", spread(F.col("text")).alias("words"))
+    keywords = F.array(*[F.lit(f" {k} ") for k in sorted({k for _, _, k, _, _, _ in rules()})])
+    # The outer form, so that no filter repeats the work on the text below the join.
+    keyed = words.select("doc_id", "words", F.explode_outer(
+        F.filter(keywords, lambda k: F.contains(F.col("words"), k))).alias("spaced"))
+    keyed = keyed.withColumn("keyword", F.trim("spaced"))
     hit = keyed.join(table, "keyword").where(F.contains("words", "hint")).select(
         "doc_id", "rule", "label", "confidence", F.regexp_extract_all("words", "pattern", F.lit(0)).alias("hits"),
         F.when(F.regexp_like("words", "pattern"), F.split("words", F.col("pattern"), F.lit(-1))).alias("gaps")) \

@@ -5,7 +5,7 @@ and are folded into a parity bitmap (an odd sketch); the population count of the
 estimates how many samples differ, most precisely where sets are alike, and drops most candidates
 inside the join. What is left is confirmed on the full sets.
 
-A bucket of a band is first linked as a star to its smallest member, a row each. Once components are
+A bucket of a band is first linked as a star to the member that meets most others, a row each. Once components are
 known, a bucket whose members are all in one component needs nothing more; only in the others are
 members of different components compared. So a large group of copies costs one row per member and
 band, and no candidate of any bucket is dropped.
@@ -135,10 +135,15 @@ def near_groups(docs: DataFrame) -> DataFrame:
     reps = materialise(reps, "classes")
     rows = reps.select("doc_id", F.explode("bands").alias("key"))
 
-    buckets = rows.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("members")) \
-        .where("members > 1")
-    buckets = materialise(buckets, "buckets")
-    stars = rows.join(buckets, "key").where("doc_id <> hub").select(
+    sizes = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    shared = materialise(rows.join(sizes, "key"), "buckets")
+    # The member that meets most others is the most likely source of the rest of a bucket.
+    met = shared.groupBy("doc_id").agg(F.sum("members").alias("met"))
+    hubs = shared.join(met, "doc_id").groupBy("key").agg(
+        F.max(F.struct("met", (-F.col("doc_id")).alias("minus"))).alias("hub")) \
+        .select("key", (-F.col("hub.minus")).alias("hub"))
+    shared = materialise(shared.join(hubs, "key"), "buckets")
+    stars = shared.where("doc_id <> hub").select(
         F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
     likely = stars.join(_named(reps, "a"), F.col("a") == F.col("aid")) \
         .join(_named(reps, "b"), (F.col("b") == F.col("bid")) & _alike("a", "b")).select("a", "b")
@@ -146,7 +151,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     # Buckets of three or more that hold several components: the pairs the stars did not try.
     labels = components(links)
-    large = rows.join(buckets.where("members > 2"), "key")
+    large = shared.where("members > 2")
     marked = large.join(labels, large["doc_id"] == labels["id"], "left") \
         .select("key", "doc_id", "hub", F.coalesce("label", "doc_id").alias("label"))
     marked = materialise(marked, "marked")

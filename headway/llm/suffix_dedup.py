@@ -307,7 +307,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     is removed. An empty table gives no rows.
     """
     judged = _judged(tx.plain(docs).mapInArrow(_round(GRAMS[0], first=True), FOUND))
-    texts = tx.plain(docs).mapInArrow(_packed, "doc_id long, text binary")
+    # Ids are never null here; with the condition said, the exchange is the same under every join.
+    texts = tx.plain(docs).mapInArrow(_packed, "doc_id long, text binary").where("doc_id IS NOT NULL")
     for length in GRAMS[1:]:
         judged = _judged(_beside(texts, judged, "inner").mapInArrow(_round(length), FOUND))
     repeats = _repeats(_beside(texts, judged, "inner").mapInArrow(_round(None), FOUND))
