@@ -30,6 +30,8 @@ SKETCH_BITS = 512
 #: At the threshold the bitmaps differ in 57 bits on average, with a deviation of 8.6.
 SKETCH_LIMIT = 96
 ROWS_AT_ONCE = 4096
+#: Larger sets are fetched for the pairs that need them.
+CARRIED = 400
 _SET_BITS = np.uint64(52)
 _SET_MASK = np.uint64((1 << 52) - 1)
 _MULTIPLIERS = tx.mixed(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E37)) | np.uint64(1)
@@ -158,12 +160,20 @@ def near_groups(docs: DataFrame) -> DataFrame:
     mixed = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")) \
         .where("low <> high").select("key")
     rest = marked.join(mixed, "key", "left_semi").where("doc_id <> hub")
-    rest = materialise(rest.join(reps.select("doc_id", "n", "sketch"), "doc_id"), "open")
-    one, two = (rest.select(F.col("key").alias(f"{p}key"), F.col("label").alias(f"{p}label"),
-                            F.col("doc_id").alias(f"{p}id"), F.col("n").alias(f"{p}n"),
-                            F.col("sketch").alias(f"{p}sketch")) for p in "ab")
-    cross = one.join(two, (F.col("akey") == F.col("bkey")) & (F.col("alabel") < F.col("blabel"))
-                     & _alike("a", "b")).select(F.col("aid").alias("a"), F.col("bid").alias("b")).distinct()
+    # Sets of ordinary size come along, so that the join itself gives confirmed links only.
+    ids = rest.join(reps.where(f"n <= {CARRIED}"), "doc_id").select("doc_id").distinct()
+    sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>") \
+        .dropDuplicates(["id"]).withColumnRenamed("id", "doc_id")
+    rest = materialise(rest.join(reps, "doc_id").join(sets, "doc_id", "left"), "open")
+    columns = ("key", "label", "doc_id", "n", "sketch", "bands", "shingles")
+    one, two = (rest.select(*[F.col(c).alias(f"{p}{c}") for c in columns]) for p in "ab")
+    both = F.size(F.array_intersect("ashingles", "bshingles"))
+    cross = one.join(two, (F.col("akey") == F.col("bkey")) & (F.col("alabel") < F.col("blabel")) & _alike("a", "b")
+                     # Of the bands that a pair shares, only the first one gives it.
+                     & (F.element_at(F.array_intersect("abands", "bbands"), 1) == F.col("akey"))
+                     & (F.col("ashingles").isNull() | F.col("bshingles").isNull()
+                        | (100 * both >= SIMILAR * (F.col("an") + F.col("bn") - both)))) \
+        .select(F.col("adoc_id").alias("a"), F.col("bdoc_id").alias("b")).distinct()
     more = materialise(confirmed(cross, texts), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
