@@ -96,7 +96,7 @@ def positions(events: DataFrame) -> DataFrame:
 
 def trip_updates(events: DataFrame) -> DataFrame:
     """Flat trip updates, one row per predicted stop."""
-    return _with_k(events.where(F.col("event_type").isin("view", "click"))).select(
+    return _with_k(events).select(
         _trip_id().alias("trip_id"),
         _route_id().alias("route_id"),
         _vehicle_id().alias("vehicle_id"),
@@ -191,7 +191,7 @@ def stops_text(customer: DataFrame, *more: Column) -> DataFrame:
 
 
 def routes(nation: DataFrame) -> DataFrame:
-    return nation.where(F.col("n_nationkey") < 12).select(
+    return nation.select(
         F.concat(F.lit("R"), F.col("n_nationkey")).alias("route_id"),
         F.col("n_name").alias("route_long_name"),
         F.col("n_regionkey").cast("string").alias("agency_id"),
@@ -201,8 +201,7 @@ def routes(nation: DataFrame) -> DataFrame:
 def shapes(nation: DataFrame) -> DataFrame:
     """A straight line of twenty points per route around the base point of its feed."""
     number = F.col("n_nationkey")
-    return (nation.where(number < 12)
-            .withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    return (nation.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(19))))
             .select(
                 F.concat(F.lit("R"), number).alias("route_id"),
                 (_base(number, 0) + (F.col("step") - 10) * F.lit(0.0005)).alias("shape_pt_lat"),

@@ -21,8 +21,8 @@ def round_mean(value: Column, digits: int) -> Column:
 
 
 def blank_to_null(value: Column) -> Column:
-    """Protobuf leaves absent text as '', which means the same as null here."""
-    return F.nullif(F.trim(value), F.lit(""))
+    """Protobuf leaves absent text as '', which means the same as null here; other text is unchanged."""
+    return F.when(F.trim(value) != "", value)
 
 
 def clip(value: Column, low: float, high: float) -> Column:

@@ -100,24 +100,25 @@ def route_summary(routes: DataFrame, gold: DataFrame) -> DataFrame:
 
 def route_deviation(positions: DataFrame, shapes: DataFrame, threshold_m: float = 200.0,
                     search_m: float = 1000.0) -> DataFrame:
-    """Distance of each routed position to the nearest point of its route's shape.
+    """Distance of each position to the nearest point of its route's shape.
 
-    Beyond ``search_m`` the distance is null, which still is a deviation since the threshold lies
-    below it. Routes without a shape are left out.
+    Points within ``search_m`` are found by cells; positions without one are measured against the
+    whole shape of their route. Without a route or a shape, distance and flag are null.
     """
-    if threshold_m > search_m:
-        raise ValueError("the threshold must not exceed the search radius")
     here = positions.select("entity_id", "event_ts", "route_id", "vehicle_id", "latitude",
                             "longitude")
-    here = here.join(shapes.select("route_id").distinct(), "route_id", "left_semi")
     points = shapes.select(F.col("route_id").alias("_route"),
                            F.col("shape_pt_lat").alias("_lat"), F.col("shape_pt_lon").alias("_lon"))
-    nearest = _nearest(here, points, search_m, F.col("route_id") == F.col("_route"),
-                       F.min("_distance").alias("_best"))
-    distance = round_to(F.col("_best"), 3)
-    return nearest.select("entity_id", "route_id", "vehicle_id", "event_ts",
-                          distance.alias("distance_m"),
-                          F.coalesce(distance > threshold_m, F.lit(True)).alias("is_deviation"))
+    same_route = F.col("route_id") == F.col("_route")
+    near = _nearest(here, points, search_m, same_route, F.min("_distance").alias("_best"))
+    distance = geo.haversine_m(F.col("latitude"), F.col("longitude"), F.col("_lat"), F.col("_lon"))
+    # A position with a point nearby keeps it; the join gives it no further points.
+    far = near.join(points, same_route & F.col("_best").isNull(), "left")
+    best = far.groupBy(*near.columns).agg(F.min(distance).alias("_far"))
+    metres = round_to(F.coalesce("_best", "_far"), 3)
+    return best.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(
+        "entity_id", "route_id", "vehicle_id", "event_ts", metres.alias("distance_m"),
+        (metres > threshold_m).alias("is_deviation"))
 
 
 def nearest_stop(positions: DataFrame, stops: DataFrame, search_m: float = 1000.0) -> DataFrame:
@@ -128,6 +129,7 @@ def nearest_stop(positions: DataFrame, stops: DataFrame, search_m: float = 1000.
     rank = F.when(F.col("_distance").isNotNull(),
                   F.struct(round_to(F.col("_distance"), 3).alias("d"), F.col("stop_id").alias("s")))
     nearest = _nearest(here, points, search_m, None, F.min(rank).alias("_best"))
+    nearest = nearest.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
     return nearest.select("entity_id", "event_ts", F.col("_best.s").alias("stop_id"),
                           F.col("_best.d").alias("distance_m"))
 
@@ -138,8 +140,9 @@ def _nearest(here: DataFrame, points: DataFrame, search_m: float, also: Column |
 
     Only the points are repeated over neighbouring cells; a left row has one cell, so all its
     candidates meet in one task and shrink to one row before the aggregate shuffles. Left rows
-    equal in all columns are one report.
+    equal in all columns are searched once; ``_copies`` says how many there are.
     """
+    here = here.groupBy(*here.columns).agg(F.count(F.lit(1)).alias("_copies"))
     size = 2 * search_m
     left = geo.with_cell(here, "latitude", "longitude", size)
     right = (geo.with_cover(points, "_lat", "_lon", search_m, size)

@@ -20,7 +20,7 @@ def canonical_types(df: DataFrame, table: str) -> DataFrame:
         if field.name not in df.columns:
             continue
         text = blank_to_null(F.col(field.name))
-        typed = text.try_cast(field.dataType)
+        typed = text if field.dataType.simpleString() == "string" else F.trim(text).try_cast(field.dataType)
         errors = errors + F.when(text.isNotNull() & typed.isNull(), 1).otherwise(0)
         casts[field.name] = typed
     return df.withColumns({"_cast_errors": errors, **casts})

@@ -227,10 +227,10 @@ def route_summary(spark, sf_dir):
 
 @query("route_deviation", sql("positions shape_points", f"""
     SELECT entity_id, route_id, vehicle_id, event_ts,
-      CASE WHEN d <= 1000 THEN {rnd('d', 3)} END AS distance_m, d > 200 AS is_deviation
+      {rnd('d', 3)} AS distance_m, {rnd('d', 3)} > 200 AS is_deviation
     FROM (SELECT p.entity_id, p.route_id, p.vehicle_id, p.event_ts,
             min({haversine('p.latitude', 'p.longitude', 's.lat', 's.lon')}) AS d
-          FROM positions p JOIN shape_points s USING (route_id) GROUP BY ALL)"""))
+          FROM positions p LEFT JOIN shape_points s ON p.route_id = s.route_id GROUP BY ALL)"""))
 def route_deviation(spark, sf_dir):
     shapes = adapters.shapes(adapters.table(spark, sf_dir, "nation"))
     return explore.route_deviation(positions(spark, sf_dir), shapes)

@@ -63,12 +63,13 @@ def append_feed_log(rows: DataFrame, folder: str) -> None:
     clean.stamped(rows, "created_at").write.mode("append").parquet(folder)
 
 
-def save_feature_store(samples: DataFrame, params: DataFrame, folder: str) -> None:
-    """Samples with x, raw and scaled target as Parquet; the scaler row as JSON."""
+def save_feature_store(samples: DataFrame, params: DataFrame, folder: str,
+                       seq_len: int = features.SEQUENCE_LENGTH) -> None:
+    """Samples with x, raw and scaled target as Parquet; the scaler row, with the length used, as JSON."""
     samples.write.mode("overwrite").parquet(f"{folder}/samples")
     document = params.withColumns({
         "feature_cols": F.array(*[F.lit(c) for c in features.FEATURES]),
-        "seq_len": F.lit(features.SEQUENCE_LENGTH)})
+        "seq_len": F.lit(seq_len)})
     document.write.mode("overwrite").json(f"{folder}/scaler")
 
 

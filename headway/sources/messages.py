@@ -16,11 +16,12 @@ def kafka_options(servers: str, topics: str | list[str], starting: str = "latest
                   **more: str) -> dict[str, str]:
     """Options of the Kafka source; several topics make one subscription.
 
-    Every streaming query keeps its own offsets in its checkpoint, so each is its own consumer.
+    Every streaming query keeps its own offsets in its checkpoint, so each is its own consumer. A
+    query fails when offsets have aged out, unless the caller sets ``failOnDataLoss``.
     """
     names = topics if isinstance(topics, str) else ",".join(topics)
     return {"kafka.bootstrap.servers": servers, "subscribe": names, "startingOffsets": starting,
-            "failOnDataLoss": "false", **more}
+            "failOnDataLoss": "true", **more}
 
 
 def kafka_stream(spark: SparkSession, servers: str, topics: str | list[str],

@@ -186,15 +186,18 @@ def test_nearest_stop_and_route_deviation(spark):
     shape = spark.createDataFrame([("R1", 12.95, 77.55 + i * 0.001) for i in range(10)],
                                   "route_id string, shape_pt_lat double, shape_pt_lon double")
     out = {r.entity_id: r for r in explore.route_deviation(frame, shape, 200.0, 600.0).collect()}
-    assert set(out) == {f"e{i:04d}" for i, p in enumerate(here) if p["route_id"] == "R1"}
+    assert set(out) == {f"e{i:04d}" for i in range(len(here))}
     for i, p in enumerate(here):
-        if p["route_id"] == "R1":
+        row = out[f"e{i:04d}"]
+        if p["route_id"] == "R1":  # Beyond the search radius too.
             d = min(meters((p["latitude"], p["longitude"]), (12.95, 77.55 + j * 0.001)) for j in range(10))
-            row = out[f"e{i:04d}"]
             assert row.is_deviation == (d > 200)
-            assert row.distance_m == (pytest.approx(d, abs=0.01) if d <= 600 else None)
-    with pytest.raises(ValueError):
-        explore.route_deviation(frame, shape, 900.0, 600.0)
+            assert row.distance_m == pytest.approx(d, abs=0.01)
+        else:
+            assert row.distance_m is None and row.is_deviation is None
+    twice = frame.union(frame)
+    assert explore.nearest_stop(twice, stop_frame, 400.0).count() == 2 * len(here)
+    assert explore.route_deviation(twice, shape, 200.0, 10.0).where("distance_m > 10").count() > 0
 
 
 def test_snapshot_messages_hold_every_vehicle_once(spark):
