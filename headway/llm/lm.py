@@ -214,7 +214,7 @@ def prepared(unigrams: np.ndarray, bigrams: np.ndarray, slot: np.ndarray, seed:
           "place": 0.1 * r.standard_normal((CONTEXT, WIDTH)).astype(np.float32),
           "out": init(WIDTH, CLASSES), "bias": np.zeros(CLASSES, np.float32),
           "gate": np.zeros(WIDTH, np.float32), "lean": np.zeros(1, np.float32)}
-    p["bias"][np.bincount(of_class, minlength=CLASSES) == 0] = -40.0
+    p["bias"][np.bincount(of_class, of_slot, minlength=CLASSES) == 0] = -40.0
     return Model(size, slot, within, of_class, share.astype(np.float32), bigram.astype(np.float32), p)
 
 
