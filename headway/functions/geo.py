@@ -30,6 +30,8 @@ FEED_BOXES: dict[str, Box] = {
 STOPS_BOX = FEED_BOXES["bmtc"]
 
 DEG_PER_M = 180.0 / (math.pi * EARTH_RADIUS_M)
+#: No two points are farther apart.
+HALF_ROUND_M = math.pi * EARTH_RADIUS_M
 
 
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -192,9 +192,10 @@ def rejected_positions(spark, sf_dir):
     SELECT p.entity_id, p.vehicle_id, p.trip_id, p.event_ts, d.delay_seconds,
       EXISTS (SELECT 1 FROM pairs b WHERE p.vehicle_id = b.vehicle_id_a AND p.event_ts = b.window_start
         OR p.vehicle_id = b.vehicle_id_b AND p.event_ts = b.window_end) AS is_bunching
-    FROM positions p LEFT JOIN (
-      SELECT trip_id, arrival_delay AS delay_seconds FROM updates QUALIFY row_number() OVER (
-        PARTITION BY trip_id ORDER BY event_ts DESC, arrival_delay DESC) = 1) d USING (trip_id)"""))
+    FROM positions p ASOF LEFT JOIN (
+      SELECT trip_id, event_ts, max(arrival_delay) AS delay_seconds FROM updates
+      WHERE arrival_delay IS NOT NULL GROUP BY ALL) d
+    ON p.trip_id = d.trip_id AND p.event_ts >= d.event_ts"""))
 def enriched_positions(spark, sf_dir):
     rows = positions(spark, sf_dir)
     found = explore.enriched_positions(rows, trip_updates(spark, sf_dir),
@@ -237,13 +238,11 @@ def route_deviation(spark, sf_dir):
 
 
 @query("nearest_stop", sql("positions stops", f"""
-    SELECT p.entity_id, p.event_ts, s.stop_id, s.distance_m FROM positions p LEFT JOIN (
-      SELECT entity_id, stop_id, {rnd('d', 3)} AS distance_m
-      FROM (SELECT p.entity_id, s.stop_id,
-              {haversine('p.latitude', 'p.longitude', 's.stop_lat', 's.stop_lon')} AS d
-            FROM positions p JOIN stops s ON abs(p.latitude - s.stop_lat) < 1e-2) WHERE d <= 1000
-      QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY {rnd('d', 3)}, stop_id) = 1) s
-    USING (entity_id)"""))
+    SELECT p.entity_id, p.event_ts, n.best.s AS stop_id, n.best.d AS distance_m
+    FROM positions p LEFT JOIN (
+      SELECT p.entity_id, min({{'d': {rnd(haversine('p.latitude', 'p.longitude', 's.stop_lat', 's.stop_lon'), 3)},
+        's': s.stop_id}}) AS best FROM positions p JOIN stops s ON p.latitude IS NOT NULL
+      AND p.longitude IS NOT NULL AND s.stop_lat IS NOT NULL GROUP BY 1) n USING (entity_id)"""))
 def nearest_stop(spark, sf_dir):
     stops = adapters.stops(adapters.table(spark, sf_dir, "customer"))
     return explore.nearest_stop(positions(spark, sf_dir), stops)

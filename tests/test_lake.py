@@ -193,6 +193,9 @@ def test_daily_run_builds_both_layers_and_checks(spark, tmp_path):
     sinks.overwrite_partitions(sinks.bronze_rows(foreign), folders[0], *sinks.LAKE_PARTITIONS)
     with pytest.raises(quality.ExpectationFailed, match="silver.feed accepted_values: 1 rows"):
         layers.run(spark, *folders)
+    # The published tables are as they were.
+    assert spark.read.parquet(folders[1]).where("feed = 'other'").count() == 0
+    assert spark.read.parquet(folders[2]).count() == 3
 
 
 def layout(schema):

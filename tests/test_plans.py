@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from headway.functions import geo
 from headway.operators import alerts, explore, state
+from headway.plans import asof
 from headway.plans.ordered import exact_median, ordinal_codes
 from headway.plans.rangejoin import interval_join
 from headway.plans.sessions import gap_sessions
@@ -177,11 +178,11 @@ def test_nearest_stop_and_route_deviation(spark):
     stops = [(f"S{i}", 12.95 + rng.uniform(-0.02, 0.02), 77.55 + rng.uniform(-0.02, 0.02)) for i in range(25)]
     frame = positions_frame(spark, here)
     stop_frame = spark.createDataFrame(stops, "stop_id string, stop_lat double, stop_lon double")
-    found = {r.entity_id: r.stop_id for r in explore.nearest_stop(frame, stop_frame, 400.0).collect()}
+    found = {r.entity_id: r.stop_id for r in explore.nearest_stop(frame, stop_frame, 100.0).collect()}
     assert len(found) == len(here)
     for i, p in enumerate(here):
         d, s = min((meters((p["latitude"], p["longitude"]), (b, c)), a) for a, b, c in stops)
-        assert found[f"e{i:04d}"] == (s if d <= 400.0 else None)
+        assert found[f"e{i:04d}"] == s
 
     shape = spark.createDataFrame([("R1", 12.95, 77.55 + i * 0.001) for i in range(10)],
                                   "route_id string, shape_pt_lat double, shape_pt_lon double")
@@ -196,10 +197,41 @@ def test_nearest_stop_and_route_deviation(spark):
         else:
             assert row.distance_m is None and row.is_deviation is None
     twice = frame.union(frame)
-    assert explore.nearest_stop(twice, stop_frame, 400.0).count() == 2 * len(here)
+    assert explore.nearest_stop(twice, stop_frame).count() == 2 * len(here)
     assert explore.route_deviation(twice, shape, 200.0, 10.0).where("distance_m > 10").count() > 0
 
 
+def test_nearest_stop_at_any_distance(spark):
+    stop_frame = spark.createDataFrame([("A", 12.95, 77.55), ("B", 12.95, 77.55), ("C", 60.0, 10.0),
+                                        ("N", None, 1.0)], "stop_id string, stop_lat double, stop_lon double")
+    here = [(12.95, 77.55), (14.0, 78.0), (0.0, 0.0), (-60.0, -170.0), (89.9, 0.0), (None, 77.0)]
+    frame = positions_frame(spark, [dict(latitude=a, longitude=b) for a, b in here])
+    found = {r.entity_id: (r.stop_id, r.distance_m) for r in explore.nearest_stop(frame, stop_frame).collect()}
+    assert len(found) == len(here) and found["e0005"] == (None, None)
+    for i, (lat, lon) in enumerate(here[:-1]):
+        d, s = min((meters((lat, lon), p), s) for s, p in (("A", (12.95, 77.55)), ("C", (60.0, 10.0))))
+        assert found[f"e{i:04d}"][0] == s and found[f"e{i:04d}"][1] == pytest.approx(d, abs=0.01)
+    none = explore.nearest_stop(frame, stop_frame.where("stop_id = 'N'"))
+    assert none.count() == len(here) and none.where("stop_id IS NOT NULL").count() == 0
+
+
+def test_as_of_join_against_brute_force(spark):
+    rng = random.Random(5)
+    left = [(i, rng.choice("abc") if i % 9 else None, rng.randrange(4000) if i % 11 else None) for i in range(300)]
+    left += left[:5]
+    right = [(rng.choice("abd"), rng.randrange(4000), rng.choice([None, 1, 2, 3])) for _ in range(120)]
+    stamp = F.timestamp_seconds("at")
+    a = spark.createDataFrame(left, "id int, key string, at long").withColumn("at", stamp)
+    b = spark.createDataFrame(right, "key string, at long, delay int").withColumn("at", stamp)
+    out = asof.newest_before(a, b, "key", "at", "delay", "known").select("id", "known").collect()
+
+    def known(key, at):
+        before = [(t, d) for k, t, d in right if k == key and d is not None and at is not None and t <= at]
+        return max(before)[1] if key and before else None
+
+    assert sorted(map(tuple, out), key=repr) == sorted(((i, known(k, t)) for i, k, t in left), key=repr)
+
+
 def test_snapshot_messages_hold_every_vehicle_once(spark):
     data = [dict(vehicle_id=f"V{i}", route_id="R1") for i in range(500)]
     live = state.latest_vehicle_state(positions_frame(spark, data)).select("vehicle_id", "route_id")

@@ -211,7 +211,7 @@ def test_the_alert_and_lake_jobs_end_to_end(spark, tmp_path):
     def write(df, topic, key):
         return message_sinks.json_sink(df, str(tmp_path / topic), str(tmp_path / f"cp-{topic}"), key)
 
-    writers = jobs.alert_writers(read, write)
+    writers = jobs.alert_writers(read, write, slices=3)
     writers.append(jobs.bronze_writer(read, str(tmp_path / "bronze"), str(tmp_path / "cp-bronze")))
     for query in lake.fan_out(*[w.trigger(availableNow=True) for w in writers]):
         query.awaitTermination()
