@@ -1,4 +1,5 @@
 import json
+import os
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -32,7 +33,11 @@ class Inbox:
     def put(self, *items):
         self.files += 1
         lines = [i if isinstance(i, str) else json.dumps(i) for i in items]
-        (self.folder / f"{self.files:03d}.json").write_text("\n".join(lines) + "\n")
+        path = self.folder / f"{self.files:03d}.json"
+        path.write_text("\n".join(lines) + "\n")
+        # Files are read by their time, which is the same for files of one millisecond.
+        arrived = path.stat().st_mtime_ns + self.files * 2_000_000_000
+        os.utime(path, ns=(arrived, arrived))
 
     def positions(self, spark, per_batch=1):
         return messages.parse_positions(messages.file_stream(spark, str(self.folder), per_batch))
