@@ -13,6 +13,7 @@ import hashlib
 import random
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ TAGS = 1 + len(KINDS)
 WINDOW, STEP, MARGIN = 64, 32, 24
 HIDDEN, EMBEDDED = 16, 12
 SAMPLE_DOCS = 300
-SAMPLE_WINDOWS = 600
+SAMPLE_WINDOWS, TEXT_WINDOWS = 600, 60
 MADE_UP = 1600
 ROUNDS, BATCH, RATE = 420, 64, 0.02
 SYMBOLS = 130                     # ASCII, other letters, anything else
@@ -336,14 +337,33 @@ def _windows(text: str, spans: list[Span]) -> Iterator[tuple[np.ndarray, np.ndar
             yield ids[s:s + WINDOW], tags[s:s + WINDOW]
 
 
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of each text with the tags of what the patterns find, at most ``TEXT_WINDOWS`` a text."""
+    for batch in tx.slices(batches):
+        rows = [(of, k, x.astype(np.uint8).tobytes(), t.astype(np.uint8).tobytes())
+                for of, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                for k, (x, t) in enumerate(islice(_windows(text, base_spans(text)), TEXT_WINDOWS))]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[k] for r in rows], t)
+             for k, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))],
+            names=["of", "k", "symbols", "tags"])
+
+
 def trained(docs: DataFrame) -> Tagger:
-    """The model: fitted on a bounded sample of the documents and on made-up examples."""
-    some = docs.where(F.regexp_like("text", F.lit("[0-9@]"))).select("text") \
-        .orderBy(F.xxhash64("text")).limit(SAMPLE_DOCS).collect()
+    """The model: fitted on a bounded sample of the documents and on made-up examples.
+
+    The sample is the ``SAMPLE_DOCS`` different texts with the smallest hashes. Only hashes and at most
+    ``SAMPLE_WINDOWS`` windows reach the driver, whatever the length or number of the texts.
+    """
+    texts = docs.where(F.regexp_like("text", F.lit("[0-9@]"))).select(F.xxhash64("text").alias("of"), "text")
+    last = texts.select("of").distinct().orderBy("of").limit(SAMPLE_DOCS).agg(F.max("of")).first()[0]
     pairs: list = []
-    for r in some:
-        pairs += list(_windows(r["text"], base_spans(r["text"])))[:SAMPLE_WINDOWS // 10]
-    pairs = pairs[:SAMPLE_WINDOWS]
+    if last is not None:
+        some = texts.where(F.col("of") <= last) \
+            .mapInArrow(_labelled, "of long, k int, symbols binary, tags binary") \
+            .dropDuplicates(["of", "k"]).orderBy("of", "k").limit(SAMPLE_WINDOWS).collect()
+        pairs = [(np.frombuffer(r["symbols"], np.uint8).astype(np.int64),
+                  np.frombuffer(r["tags"], np.uint8).astype(np.int64)) for r in some]
     for text, spans in made_up(MADE_UP):
         pairs += list(_windows(text, spans))[:1]
     return Tagger().fit(np.array([x for x, _ in pairs]), np.array([t for _, t in pairs]))
