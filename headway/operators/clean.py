@@ -27,25 +27,25 @@ def plausible(df: DataFrame) -> DataFrame:
     return complete(df).where(geo.on_globe(F.col("latitude"), F.col("longitude")))
 
 
-def newest_per(df: DataFrame, keys: Mapping[str, Column], newest: Sequence[Column]) -> DataFrame:
-    """One whole row per key, the greatest by ``newest``.
+def newest_per(df: DataFrame, keys: Sequence[str], newest: Sequence[Column],
+               computed: Mapping[str, Column] | None = None) -> DataFrame:
+    """One whole row per key, the greatest by ``newest``; ``computed`` keys are not columns of ``df``.
 
     An aggregate, not a window: map tasks keep one row per key before the shuffle, so copies of
-    one key never meet in bulk, and the same call runs on streams.
+    one key never meet in bulk, and the same call runs on streams. Key columns come back as grouping
+    columns, so a filter on them reaches the input.
     """
-    row = F.struct(*[F.col(c) for c in df.columns])
-    best = df.groupBy(*[expr.alias(name) for name, expr in keys.items()]).agg(
+    row = F.struct(*[F.col(c) for c in df.columns if c not in keys])
+    best = df.groupBy(*keys, *[expr.alias(name) for name, expr in (computed or {}).items()]).agg(
         F.max_by(row, F.struct(*newest)).alias("_row"))
-    return best.select("_row.*")
+    return best.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
 
 
 def dedup(df: DataFrame, seconds: int = DEDUP_SECONDS, include_feed: bool = False) -> DataFrame:
     """Newest row per vehicle and fixed time bucket; the larger entity id wins a tie."""
-    keys = {"_vehicle": F.col("vehicle_id"),
-            "_bucket": times.bucket_number(F.col("event_ts"), seconds)}
-    if include_feed:
-        keys["_feed"] = F.col("feed")
-    return newest_per(df, keys, [F.col("ingested_at"), F.col("entity_id")])
+    keys = ["vehicle_id", "feed"] if include_feed else ["vehicle_id"]
+    return newest_per(df, keys, [F.col("ingested_at"), F.col("entity_id")],
+                      {"_bucket": times.bucket_number(F.col("event_ts"), seconds)})
 
 
 def with_null_defaults(df: DataFrame) -> DataFrame:

@@ -91,15 +91,13 @@ def replay_frames(silver: DataFrame, step_s: int, day: date | None = None) -> Da
     if day is not None:
         silver = silver.where(F.col("ingestion_date") == day.isoformat())
     frames = silver.withColumn("frame_start", times.bucket_start(F.col("event_ts"), step_s))
-    keys = {"_vehicle": F.col("vehicle_id"), "_frame": F.col("frame_start")}
     order = [F.col("event_ts"), F.col("ingested_at"), F.col("entity_id")]
-    return clean.newest_per(frames, keys, order)
+    return clean.newest_per(frames, ["vehicle_id", "frame_start"], order)
 
 
 def route_summary(routes: DataFrame, gold: DataFrame) -> DataFrame:
     """Every route with the indicators of its newest day."""
-    newest = clean.newest_per(gold, {"_route": F.col("route_id")},
-                              [F.col("ingestion_date"), F.col("feed")])
+    newest = clean.newest_per(gold, ["route_id"], [F.col("ingestion_date"), F.col("feed")])
     return routes.join(newest, "route_id", "left")
 
 

@@ -18,7 +18,7 @@ def latest_vehicle_state(positions: DataFrame) -> DataFrame:
     """The last written position of every vehicle."""
     known = positions.where(blank_to_null(F.col("vehicle_id")).isNotNull())
     order = [F.col("ingested_at"), F.col("event_ts"), F.col("entity_id")]
-    return clean.newest_per(known, {"_vehicle": F.col("vehicle_id")}, order)
+    return clean.newest_per(known, ["vehicle_id"], order)
 
 
 def seen_within(state: DataFrame, as_of: Column, seconds: int) -> DataFrame:

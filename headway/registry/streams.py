@@ -51,7 +51,7 @@ def stream_dedup(spark, sf_dir):
 @query("stream_latest_state", sql("latest", "SELECT * FROM latest"))
 def stream_latest_state(spark, sf_dir):
     versions = runner.to_versions(jobs.latest_state(positions(spark, sf_dir)), "latest")
-    newest = clean.newest_per(versions, {"_vehicle": F.col("vehicle_id")}, [F.col("version")])
+    newest = clean.newest_per(versions, ["vehicle_id"], [F.col("version")])
     return newest.drop("version")
 
 

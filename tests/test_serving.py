@@ -22,6 +22,14 @@ def test_last_write_wins_and_blank_ids_are_skipped(spark):
     assert state.vehicle_lookup(latest, "nobody").count() == 0
 
 
+def test_a_key_filter_is_applied_before_the_shuffle(spark, tmp_path):
+    positions_frame(spark, [dict(vehicle_id="A"), dict(vehicle_id="B")]).write.parquet(str(tmp_path / "p"))
+    found = state.vehicle_lookup(state.latest_vehicle_state(spark.read.parquet(str(tmp_path / "p"))), "A")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(vehicle_id,A)" in plan and "Filter" not in plan.split("Exchange")[0]
+    assert rows(found.select("vehicle_id")) == [("A",)]
+
+
 def test_expiry_bounds(spark):
     frame = positions_frame(spark, [dict(vehicle_id=f"V{s}", event_ts=ago(s)) for s in (0, 90, 91, 300, 301)])
     now = F.lit(NOW)

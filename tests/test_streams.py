@@ -146,7 +146,7 @@ def test_latest_state_versions(spark, inbox):
     inbox.put(message(5, 9, vehicle_id="A"), message(3, 60, vehicle_id="A"), message(4, 1, vehicle_id=""))
     versions = runner.to_versions(jobs.latest_state(bronze(inbox.positions(spark))), "ls")
     assert versions.where("vehicle_id = 'A'").count() == 2
-    newest = clean.newest_per(versions, {"_v": F.col("vehicle_id")}, [F.col("version")])
+    newest = clean.newest_per(versions, ["vehicle_id"], [F.col("version")])
     assert rows(newest.select("vehicle_id", "entity_id")) == [("A", "e5"), ("B", "e2")]
 
 
