@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from headway.llm import (components, decontaminate, language, licenses, lm, near_dedup, pages, pii, queries,
@@ -390,6 +391,17 @@ def tagger():
     return pii.Tagger().fit(*map(np.array, zip(*pairs)))
 
 
+def test_training_windows_of_a_text_are_bounded_and_tagged():
+    texts = ["mail a.b@example.com now", None, "", "7 " * 5000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4), pa.int64()), pa.array(texts).fill_null("")],
+                                       names=["of", "text"])
+    out = pa.Table.from_batches(list(pii._labelled(iter([batch])))).to_pylist()
+    assert [r["of"] for r in out] == [0] + [3] * pii.TEXT_WINDOWS
+    tags = np.frombuffer(out[0]["tags"], np.uint8)
+    assert tags.tolist() == [0] * 5 + [1] * 15 + [0] * (pii.WINDOW - 20)
+    assert all(len(r["symbols"]) == len(r["tags"]) == pii.WINDOW for r in out)
+
+
 def test_tagger_on_held_out_examples(tagger):
     examples = pii.made_up(250, 77)
     found = pii.model_spans(tagger, [t for t, _ in examples])
