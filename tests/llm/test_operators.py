@@ -172,6 +172,20 @@ def test_each_token_is_scored_once_and_probabilities_sum_to_one():
     assert whole == pytest.approx(total + model.within[np.append(text, 59)].sum(), rel=1e-4)
 
 
+def test_later_windows_keep_a_quarter_of_their_context(monkeypatch):
+    model, r = small_model()
+    first, kernel = [], lm.Model.log_probabilities
+
+    def spy(self, x, y, scored, tables):
+        first.extend(scored.argmax(1).tolist())
+        return kernel(self, x, y, scored, tables)
+
+    monkeypatch.setattr(lm.Model, "log_probabilities", spy)
+    model.score([r.integers(0, 59, 200)])
+    assert first[0] == 0 and len(first) > 2 and min(first[1:]) >= lm.CONTEXT // 4
+    assert model.p["out"].shape[1] >= 64
+
+
 def test_training_lowers_the_loss():
     model, r = small_model(2)
     x = np.cumsum(r.integers(1, 3, (400, lm.CONTEXT + 1)), 1) % 40 + 1
