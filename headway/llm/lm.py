@@ -3,8 +3,10 @@
 A causal self-attention model over subword ids, trained in numpy, gives each token a probability from the
 tokens before it in a window. Windows overlap: each one after the first gives its first tokens as
 context only, so every token is scored once. The output is factored into classes of tokens, and mixed
-by a learned gate with the bigram table; unigrams, bigrams and the classes come from all training documents,
-the attention weights are fitted on ``TRAIN_WINDOWS`` windows, at most one of a document.
+by a learned gate with the bigram table. Unigrams, bigrams, classes and the attention weights come from all
+tokens of all training documents: their windows are dealt by hash to shards of about ``SHARD_WINDOWS``. A first
+shard is fitted alone; in rounds of eight times as many shards, each task goes once over the windows of a shard
+from the weights so far, and the mean of the round's weights is the start of the next.
 
 The base score is a unigram over words. Counts of the ``HEAD`` most frequent words go to the tasks; other
 words meet their counts in a join, so neither depends on the size of the vocabulary.
@@ -12,7 +14,7 @@ words meet their counts in a join, so neither depends on the size of the vocabul
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,10 @@ WIDTH, CLASSES, SLOTS = 16, 64, 1024
 #: Slot 0 is the start of a text, the last one holds all tokens without a slot of their own.
 RARE = SLOTS - 1
 HEAD = 1 << 18
-TRAIN_WINDOWS, ROUNDS, BATCH, RATE = 6000, 450, 96, 0.02
+#: Windows of a shard; steps the first shard takes at least; windows of a step; rates of the first shard and of others.
+SHARD_WINDOWS, ROUNDS, BATCH, RATE, LATER_RATE = 1 << 16, 450, 96, 0.02, 0.005
+#: Weights are added up across tasks as integers of this unit, so that their order does not matter.
+UNIT = 1 << 20
 SMOOTH = 0.1
 BIGRAM_WEIGHT = 20.0
 WINDOWS_AT_ONCE = 256
@@ -63,13 +68,17 @@ class Model:
     p: dict[str, np.ndarray]
     steep: bool = True
 
-    def fit(self, x: np.ndarray, y: np.ndarray, seed: int = 5) -> Model:
-        """Windows of slots, and the slots that follow; -1 where there is none."""
+    def fit(self, x: np.ndarray, y: np.ndarray, seed: int = 5, least: int = ROUNDS, first_rate: float = RATE) -> Model:
+        """Windows of slots, and the slots that follow; -1 where there is none. Each window is met at least once."""
         r = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
-        for step in range(1, ROUNDS + 1 if len(x) else 1):
-            pick = r.integers(0, len(x), BATCH)
-            rate = RATE * (1 - 0.9 * step / ROUNDS)
+        steps = max(least, -(-len(x) // BATCH)) if len(x) else 0
+        order = np.zeros(0, np.int64)
+        for step in range(1, steps + 1):
+            while len(order) < BATCH:
+                order = np.append(order, r.permutation(len(x)))
+            pick, order = order[:BATCH], order[BATCH:]
+            rate = first_rate * (1 - 0.9 * step / steps)
             for k, g in self.gradients(x[pick], y[pick])[1].items():
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.99 * v[k] + 0.01 * g * g
@@ -256,26 +265,101 @@ def trained(ids: DataFrame, vocabulary: int) -> Model:
         return np.concatenate([np.append(0, a[:-1]) * SLOTS + a for a in after]) if after else np.zeros(0)
 
     model = prepared(counts, _collected(_counted(own, pairs), SLOTS * SLOTS).reshape(SLOTS, SLOTS), slot)
-    n = counts[vocabulary]
-    spread = F.pmod(F.xxhash64("doc_id", "tag"), F.lit(1 << 20))
-    length = F.octet_length("ids") / 2
-    at = F.floor(F.pmod(F.xxhash64("tag"), F.lit(1 << 20)) / (1 << 20) * F.greatest(length - CONTEXT + 1, F.lit(1)))
-    chosen = own.where(spread < (1 << 20) * min(1.0, 1.1 * TRAIN_WINDOWS / max(n, 1))) \
-        .select("doc_id", "tag", at.cast("int").alias("at"), length.cast("int").alias("length"),
-                F.substring("ids", at.cast("int") * 2 + 1, F.lit(2 * CONTEXT)).alias("ids")) \
-        .orderBy("doc_id", "tag").limit(TRAIN_WINDOWS).collect()
-    x, y = np.zeros((len(chosen), CONTEXT), np.int64), np.full((len(chosen), CONTEXT), -1, np.int64)
-    for k, r in enumerate(chosen):
-        own_ids = slot[np.frombuffer(r["ids"], "<u2").astype(np.int64)]
-        if r["at"] + len(own_ids) == r["length"]:
-            own_ids = np.append(own_ids, slot[vocabulary])[:CONTEXT]
-        y[k, :len(own_ids)] = own_ids
-        x[k, 1:len(own_ids)] = own_ids[:-1]
-        # A window from the middle of a text does not start one: its first token is context only.
-        if r["at"] and len(own_ids) > 1:
-            y[k, :len(own_ids) - 1], y[k, len(own_ids) - 1:] = own_ids[1:], -1
-            x[k, :len(own_ids) - 1] = own_ids[:-1]
-    return model.fit(x, y)
+    shards = max(1, -(-int(counts.sum() / CONTEXT + counts[vocabulary]) // SHARD_WINDOWS))
+    done = 0
+    while done < shards:
+        upto = min(shards, max(1, 8 * done))
+        model = _averaged(windows(own, slot, vocabulary, shards, done, upto), model, done == 0)
+        done = upto
+    return model
+
+
+def windows(ids: DataFrame, slot: np.ndarray, end: int, shards: int, first: int, upto: int) -> DataFrame:
+    """shard, place, slots (16 bits each): the windows of the shards from ``first`` up to ``upto``.
+
+    A window is a slot of context and up to ``CONTEXT`` slots that follow; each token of a text, its end included,
+    is one of those that follow in one window. A hash of the row and the window gives the shard and the place there.
+    """
+
+    def run(batches):
+        for batch in tx.slices(batches, text=2, limit=1 << 20):
+            data, bounds = tx.flat(batch.column(2))
+            own, n = data.view("<u2"), np.diff(bounds) // 2
+            starts = np.cumsum(n + 2) - (n + 2)
+            line = np.full(int((n + 2).sum()), slot[end], "<u2")
+            line[starts] = 0
+            line[np.arange(len(own)) + np.repeat(starts + 1 - (bounds[:-1] - bounds[0]) // 2, n)] = slot[own]
+            many = -(-(n + 1) // CONTEXT)
+            of = np.repeat(np.arange(len(n)), many)
+            number = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+            key = tx.mixed(batch.column(0).to_numpy().view(np.uint64)
+                           ^ tx.mixed(batch.column(1).to_numpy().view(np.uint64)))[of]
+            key = tx.mixed(key + number.astype(np.uint64))
+            shard = (key % np.uint64(shards)).astype(np.int32)
+            keep = (shard >= first) & (shard < upto)
+            of, number = of[keep], number[keep]
+            sizes = np.minimum(CONTEXT + 1, n[of] + 2 - CONTEXT * number)
+            ends = np.cumsum(sizes)
+            at = np.repeat(starts[of] + CONTEXT * number - (ends - sizes), sizes) + np.arange(int(sizes.sum()))
+            offsets = np.append(0, 2 * ends).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shard[keep]), pa.array(tx.signed(tx.mixed(key[keep]))),
+                 pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(offsets), pa.py_buffer(line[at])])],
+                names=["shard", "place", "slots"])
+
+    return ids.select("doc_id", "tag", "ids").mapInArrow(run, "shard int, place long, slots binary")
+
+
+def _by_shard(batches):
+    """Windows of each shard of sorted rows, -1 behind the end of a text."""
+    parts, current = [], None
+    for batch in batches:
+        shard = batch.column(0).to_numpy()
+        data, bounds = tx.flat(batch.column(2))
+        sizes = np.diff(bounds) // 2
+        rows = np.full((len(sizes), CONTEXT + 1), -1, np.int16)
+        rows[np.arange(CONTEXT + 1) < sizes[:, None]] = data.view("<u2")
+        for piece in np.split(np.arange(len(shard)), np.flatnonzero(np.diff(shard)) + 1):
+            if len(piece) and shard[piece[0]] != current:
+                if parts:
+                    yield current, np.concatenate(parts)
+                parts, current = [], int(shard[piece[0]])
+            parts.append(rows[piece])
+    if parts:
+        yield current, np.concatenate(parts)
+
+
+def _averaged(rows: DataFrame, model: Model, first: bool) -> Model:
+    """The model with the mean of the weights that the shards among the windows end with."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+    names = sorted(model.p)
+
+    def run(batches):
+        total = None
+        for shard, found in _by_shard(batches):
+            own = replace(sent.value, p={k: a.copy() for k, a in sent.value.p.items()})
+            x, y = np.maximum(found[:, :-1], 0), found[:, 1:]
+            own.fit(x, y, 5 + shard, *(() if first else (1, LATER_RATE)))
+            flat = np.concatenate([own.p[k].ravel() for k in names] + [np.ones(1)])
+            sums = np.rint(flat * UNIT).astype(np.int64) * len(found)
+            total = sums if total is None else total + sums
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)],
+                                             names=["at", "value"])
+
+    # A shard is sorted, so what it learns does not depend on where its windows come from.
+    dealt = rows.repartition("shard").sortWithinPartitions("shard", "place", "slots")
+    found = dealt.mapInArrow(run, "at int, value long").groupBy("at").agg(F.sum("value").alias("value")).toArrow()
+    if not found.num_rows:
+        return model
+    values = np.zeros(found.num_rows)
+    values[found.column("at").to_numpy()] = found.column("value").to_numpy()
+    values, p, at = values[:-1] / values[-1], {}, 0
+    for k in names:
+        size = model.p[k].size
+        p[k] = values[at:at + size].reshape(model.p[k].shape).astype(np.float32)
+        at += size
+    return replace(model, p=p)
 
 
 def _word_counts(batches):

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from headway.llm import (components, decontaminate, language, licenses, lm, near_dedup, pages, pii, queries,
                          suffix_dedup, text as tx)
@@ -193,6 +194,36 @@ def test_training_lowers_the_loss():
     assert model.fit(x[:, :-1], x[:, 1:]).gradients(x[:, :-1], x[:, 1:])[0] < before - 0.3
 
 
+def test_training_meets_every_token_of_every_document_once(spark):
+    r = random.Random(3)
+    texts = [[r.randrange(1, 40) for _ in range(n)] for n in (0, 1, 31, 32, 33, 2500)]
+    table = spark.createDataFrame(
+        [(k, 7 * k, np.array(t, "<u2").tobytes()) for k, t in enumerate(texts)], "doc_id long, tag long, ids binary")
+    slot = np.arange(41)
+    found = [w for first, upto in ((0, 1), (1, 3)) for w in lm.windows(table, slot, 40, 3, first, upto).collect()]
+    got, want = Counter(), Counter()
+    for w in found:
+        own = np.frombuffer(w.slots, "<u2").tolist()
+        got.update(zip(own, own[1:]))
+    for t in texts:
+        want.update(zip([0, *t], [*t, 40]))
+    assert got == want and {w.shard for w in found} == {0, 1, 2}
+
+
+def test_weights_do_not_depend_on_where_rows_lie(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_WINDOWS", 100)
+    seen, averaged = [], lm._averaged
+    monkeypatch.setattr(lm, "_averaged", lambda rows, *a: seen.append(rows.count()) or averaged(rows, *a))
+    r = np.random.default_rng(4)
+    rows = [(k, 3 * k, (np.cumsum(r.integers(1, 3, n)) % 40).astype("<u2").tobytes(), False)
+            for k, n in enumerate([5000, *[40] * 60])]
+    table = spark.createDataFrame(rows, "doc_id long, tag long, ids binary, held_out boolean")
+    one = lm.trained(table.repartition(1), 40)
+    assert len(seen) == 2 and sum(seen) == -(-5001 // lm.CONTEXT) + 60 * 2
+    other = lm.trained(table.orderBy(F.desc("doc_id")).repartition(5), 40)
+    assert all(np.array_equal(one.p[k], other.p[k]) for k in one.p)
+
+
 # Language
 
 def test_language_of_held_out_documents(spark):
