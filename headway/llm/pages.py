@@ -2,8 +2,9 @@
 
 Each page scores its containers and votes for the generalised tag-class path of the best one; Spark adds
 up the votes of a host and the path with the most weight wins. The pages are then read again with the
-winning path of their host. A page without that path falls back to its own best container, so no page
-depends on its host's template.
+winning path of their host. The body takes part in the vote; where it wins, each page keeps its own best
+container. So does a page without the winning path, and one whose best container is the body when less than
+half of the body's weight lies on that path.
 """
 
 from __future__ import annotations
@@ -173,16 +174,26 @@ def _best(page: Page) -> int:
     return max(range(len(weights)), key=lambda k: (weights[k], -k))
 
 
+def _within(nodes: list[Node]) -> list[int]:
+    """Blocks of the containers, each once."""
+    out, upto = [], 0
+    for n in nodes:
+        out += range(max(n.first, upto), n.last)
+        upto = max(upto, n.last)
+    return out
+
+
 def extract(source: str, path: str | None) -> str:
     page = parse(source)
-    chosen = [n for n in page.nodes if n.path == path] if path else []
-    if not any(n.last > n.first for n in chosen):
-        chosen = [page.nodes[_best(page)]]
-    keep, upto = [], 0
-    for n in chosen:
-        keep += page.blocks[max(n.first, upto):n.last]
-        upto = max(upto, n.last)
-    return "\n".join(keep)
+    best = page.nodes[_best(page)]
+    own, keep = _within([best]), _within([n for n in page.nodes if n.path == path] if path else [])
+
+    def weight(blocks: list[int]) -> int:
+        return sum(max(0, len(page.blocks[k]) - 2 * page.linked[k]) for k in blocks)
+
+    if not keep or (not best.path and 2 * weight(keep) < weight(own)):
+        keep = own
+    return "\n".join(page.blocks[k] for k in keep)
 
 
 def _votes(batches):
@@ -192,7 +203,7 @@ def _votes(batches):
             page = parse(source or "")
             k = _best(page)
             weight = sum(len(b) for b in page.blocks[page.nodes[k].first:page.nodes[k].last])
-            if page.nodes[k].path and weight:
+            if weight:
                 rows.append((host, page.nodes[k].path, min(weight, 10_000)))
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))],

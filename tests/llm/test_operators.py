@@ -502,6 +502,21 @@ def test_hosts_agree_on_a_path(spark):
     assert got[9] == "brief"
 
 
+def test_pages_with_text_in_the_body_vote_and_keep_it(spark):
+    long, caption = "<p>" + "word " * 60 + "</p>", '<div class="caption">{}</div>'
+    # One page of h.org has its text in a caption, the others directly in the body.
+    rows = [(k, "http://h.org/", f"<body>{long * 2}{caption.format('brief ' * 8)}</body>") for k in range(9)]
+    rows.append((9, "http://h.org/", f"<body>{caption.format(long * 2)}</body>"))
+    # Captions win on g.org, where one page has a small one beside its text.
+    rows += [(10 + k, "http://g.org/", f"<body>{caption.format(long)}</body>") for k in range(9)]
+    rows.append((19, "http://g.org/", f"<body>{long}{long}{caption.format('brief ' * 30)}</body>"))
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.host: r.path for r in pages.host_paths(table).collect()} == {"h.org": "", "g.org": ">div.caption"}
+    got = {r.page_id: r.text.split() for r in pages.extracted(table).collect()}
+    assert all(got[k].count("word") == 120 for k in range(10)) and got[19].count("word") == 120
+    assert all(got[k].count("word") == 60 for k in range(10, 19))
+
+
 # The pipeline
 
 def test_pipeline_equals_its_stages_by_brute_force(spark):
