@@ -2,8 +2,9 @@
 
 Every rule has a regular expression over the words of a text, a keyword, a hint, a priority and a
 confidence. A text is looked at only by rules whose keyword it has (an equi-join with the rule table,
-whose size is fixed) and whose hint it has. Of overlapping detections, one that lies within another is
-suppressed; of equal ones the rule of higher priority stays.
+whose size is fixed) and whose hint it has; both are words that every match of the expression has. Of
+overlapping detections, one that lies within another is suppressed; of equal ones the rule of higher
+priority stays.
 """
 
 from __future__ import annotations
@@ -15,28 +16,29 @@ from headway.llm import text as tx
 #: Phrases that are always reported, and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: label, hint word, expression of the name. Order is priority: more specific names come first.
+#: label, hint, expression of the name. Order is priority: more specific names come first. Every match of the
+#: expression has the words of the hint; a word with a star may have a number directly behind it.
 NAMES = (
-    ("agpl-3", "affero", r"(?:gnu )?affero general public licen[cs]e(?: as published by the free software foundation)?(?: v3| version 3)?(?: 0)?"),
-    ("agpl-3", "agpl", r"(?:gnu )?agpl ?(?:v?3)?(?: 0)?(?: only| or later)?"),
-    ("lgpl-3", "lesser", r"(?:gnu )?lesser general public licen[cs]e(?: v| version)? ?3(?: 0)?"),
-    ("lgpl-2.1", "lesser", r"(?:gnu )?lesser general public licen[cs]e(?: v| version)? ?2 1"),
-    ("lgpl", "lesser", r"(?:gnu )?lesser general public licen[cs]e"),
-    ("lgpl-2", "library", r"(?:gnu )?library general public licen[cs]e(?: version 2)?"),
-    ("lgpl-3", "lgpl", r"(?:gnu )?lgpl ?v?3(?: 0)?(?: only| or later)?"),
-    ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl ?v?2 1(?: only| or later)?"),
+    ("agpl-3", "affero general", r"(?:gnu )?affero general public licen[cs]e(?: as published by the free software foundation)?(?: v3| version 3)?(?: 0)?"),
+    ("agpl-3", "agpl*", r"(?:gnu )?agpl ?(?:v?3)?(?: 0)?(?: only| or later)?"),
+    ("lgpl-3", "lesser general", r"(?:gnu )?lesser general public licen[cs]e(?: v| version)? ?3(?: 0)?"),
+    ("lgpl-2.1", "lesser general", r"(?:gnu )?lesser general public licen[cs]e(?: v| version)? ?2 1"),
+    ("lgpl", "lesser general", r"(?:gnu )?lesser general public licen[cs]e"),
+    ("lgpl-2", "library general", r"(?:gnu )?library general public licen[cs]e(?: version 2)?"),
+    ("lgpl-3", "lgpl*", r"(?:gnu )?lgpl ?v?3(?: 0)?(?: only| or later)?"),
+    ("lgpl-2.1", "lgpl*", r"(?:gnu )?lgpl ?v?2 1(?: only| or later)?"),
     ("lgpl", "lgpl", r"(?:gnu )?lgpl"),
-    ("gpl-3", "general", r"(?:gnu )?general public licen[cs]e(?: v| version)? ?3(?: 0)?(?: or later)?"),
-    ("gpl-2", "general", r"(?:gnu )?general public licen[cs]e(?: v| version)? ?2(?: 0)?(?: or later)?"),
-    ("gpl-1", "general", r"(?:gnu )?general public licen[cs]e(?: v| version)? ?1(?: 0)?"),
-    ("gpl", "general", r"(?:gnu )?general public licen[cs]e"),
-    ("gpl-3", "gpl", r"(?:gnu )?gpl ?v?3(?: 0)?(?: only| or later)?"),
-    ("gpl-2", "gpl", r"(?:gnu )?gpl ?v?2(?: 0)?(?: only| or later)?"),
+    ("gpl-3", "general public", r"(?:gnu )?general public licen[cs]e(?: v| version)? ?3(?: 0)?(?: or later)?"),
+    ("gpl-2", "general public", r"(?:gnu )?general public licen[cs]e(?: v| version)? ?2(?: 0)?(?: or later)?"),
+    ("gpl-1", "general public", r"(?:gnu )?general public licen[cs]e(?: v| version)? ?1(?: 0)?"),
+    ("gpl", "general public", r"(?:gnu )?general public licen[cs]e"),
+    ("gpl-3", "gpl*", r"(?:gnu )?gpl ?v?3(?: 0)?(?: only| or later)?"),
+    ("gpl-2", "gpl*", r"(?:gnu )?gpl ?v?2(?: 0)?(?: only| or later)?"),
     ("gpl", "gpl", r"(?:gnu )?gpl"),
-    ("gfdl", "documentation", r"(?:gnu )?free documentation licen[cs]e(?: version 1 [123])?"),
-    ("apache-2", "apache", r"apache(?: software)?(?: licen[cs]e)?(?: v| version)? ?2(?: 0)?(?: licen[cs]e)?"),
-    ("apache-1.1", "apache", r"apache(?: software)?(?: licen[cs]e)?(?: v| version)? ?1 1"),
-    ("apache-1", "apache", r"apache(?: software)?(?: licen[cs]e)?(?: v| version)? ?1 0"),
+    ("gfdl", "free documentation", r"(?:gnu )?free documentation licen[cs]e(?: version 1 [123])?"),
+    ("apache-2", "apache*", r"apache(?: software)?(?: licen[cs]e)?(?: v| version)? ?2(?: 0)?(?: licen[cs]e)?"),
+    ("apache-1.1", "apache*", r"apache(?: software)?(?: licen[cs]e)?(?: v| version)? ?1 1"),
+    ("apache-1", "apache*", r"apache(?: software)?(?: licen[cs]e)?(?: v| version)? ?1 0"),
     ("apache", "apache", r"apache(?: software)? licen[cs]e"),
     ("mit-0", "mit", r"mit no attribution(?: licen[cs]e)?"),
     ("mit", "mit", r"mit(?: x11| expat)?(?: style)? licen[cs]e"),
@@ -48,74 +50,74 @@ NAMES = (
     ("0bsd", "0bsd", r"0bsd"),
     ("bsd", "bsd", r"bsd(?: style)?(?: licen[cs]e)?"),
     ("isc", "isc", r"isc(?: licen[cs]e)?"),
-    ("mpl-2", "mozilla", r"mozilla public licen[cs]e(?: v| version)? ?2(?: 0)?"),
-    ("mpl-1.1", "mozilla", r"mozilla public licen[cs]e(?: v| version)? ?1 1"),
-    ("mpl", "mozilla", r"mozilla public licen[cs]e"),
-    ("mpl-2", "mpl", r"mpl ?v?2(?: 0)?"),
-    ("epl-2", "eclipse", r"eclipse public licen[cs]e(?: v| version)? ?2(?: 0)?"),
-    ("epl-1", "eclipse", r"eclipse public licen[cs]e(?: v| version)? ?1(?: 0)?"),
-    ("epl", "eclipse", r"eclipse public licen[cs]e"),
-    ("cddl", "cddl", r"cddl(?: ?v?1 [01])?"),
-    ("cddl", "distribution", r"common development and distribution licen[cs]e(?: version 1 [01])?"),
-    ("eupl", "european", r"european union public licen[cs]e(?: v?1 [012])?"),
-    ("cpl-1", "common", r"common public licen[cs]e(?: version 1 0)?"),
+    ("mpl-2", "mozilla public", r"mozilla public licen[cs]e(?: v| version)? ?2(?: 0)?"),
+    ("mpl-1.1", "mozilla public", r"mozilla public licen[cs]e(?: v| version)? ?1 1"),
+    ("mpl", "mozilla public", r"mozilla public licen[cs]e"),
+    ("mpl-2", "mpl*", r"mpl ?v?2(?: 0)?"),
+    ("epl-2", "eclipse public", r"eclipse public licen[cs]e(?: v| version)? ?2(?: 0)?"),
+    ("epl-1", "eclipse public", r"eclipse public licen[cs]e(?: v| version)? ?1(?: 0)?"),
+    ("epl", "eclipse public", r"eclipse public licen[cs]e"),
+    ("cddl", "cddl*", r"cddl(?: ?v?1 [01])?"),
+    ("cddl", "development and distribution", r"common development and distribution licen[cs]e(?: version 1 [01])?"),
+    ("eupl", "european union", r"european union public licen[cs]e(?: v?1 [012])?"),
+    ("cpl-1", "common public", r"common public licen[cs]e(?: version 1 0)?"),
     ("artistic-2", "artistic", r"artistic licen[cs]e ?2(?: 0)?"),
     ("artistic", "artistic", r"artistic licen[cs]e"),
     ("zlib", "zlib", r"zlib(?: libpng)?(?: licen[cs]e)?"),
-    ("boost-1", "boost", r"boost software licen[cs]e(?: version 1 0)?"),
+    ("boost-1", "boost software", r"boost software licen[cs]e(?: version 1 0)?"),
     ("unlicense", "unlicense", r"unlicense"),
     ("wtfpl", "wtfpl", r"wtfpl"),
-    ("python-2", "python", r"(?:python software foundation|psf|python) licen[cs]e(?: version 2)?"),
+    ("python-2", "python", r"(?:python software foundation|python) licen[cs]e(?: version 2)?"),
+    ("python-2", "psf", r"psf licen[cs]e(?: version 2)?"),
     ("postgresql", "postgresql", r"postgresql licen[cs]e"),
     ("openssl", "openssl", r"openssl licen[cs]e"),
     ("php-3", "php", r"php licen[cs]e(?: version 3 0[01]?)?"),
     ("ruby", "ruby", r"ruby licen[cs]e"),
-    ("ofl-1.1", "sil", r"sil open font licen[cs]e(?: version 1 1)?"),
+    ("ofl-1.1", "sil open font", r"sil open font licen[cs]e(?: version 1 1)?"),
     ("ms-pl", "microsoft", r"microsoft public licen[cs]e"),
     ("ms-rl", "microsoft", r"microsoft reciprocal licen[cs]e"),
-    ("odbl", "database", r"open database licen[cs]e"),
-    ("odc-by", "commons", r"open data commons attribution licen[cs]e"),
+    ("odbl", "open database", r"open database licen[cs]e"),
+    ("odc-by", "open data commons", r"open data commons attribution licen[cs]e"),
     ("cc0", "cc0", r"cc0(?: 1 0)?(?: universal)?"),
-    ("cc0", "zero", r"creative commons (?:cc )?zero(?: 1 0)?(?: universal)?"),
-    ("cc-by-nc-nd", "cc", r"cc by nc nd(?: [1234] 0)?"),
-    ("cc-by-nc-sa", "cc", r"cc by nc sa(?: [1234] 0)?"),
-    ("cc-by-nc", "cc", r"cc by nc(?: [1234] 0)?"),
-    ("cc-by-nd", "cc", r"cc by nd(?: [1234] 0)?"),
-    ("cc-by-sa", "cc", r"cc by sa(?: [1234] 0)?"),
-    ("cc-by", "cc", r"cc by(?: [1234] 0)?"),
-    ("cc-by-nc-nd", "creative", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?(?: [1234] 0)?"),
-    ("cc-by-nc-sa", "creative", r"creative commons attribution non ?commercial share ?alike(?: [1234] 0)?"),
-    ("cc-by-nc", "creative", r"creative commons attribution non ?commercial(?: [1234] 0)?"),
-    ("cc-by-nd", "creative", r"creative commons attribution no ?deriv(?:ative)?s?(?: works)?(?: [1234] 0)?"),
-    ("cc-by-sa", "creative", r"creative commons attribution share ?alike(?: [1234] 0)?"),
-    ("cc-by", "creative", r"creative commons attribution(?: [1234] 0)?"),
-    ("creative-commons", "creative", r"creative commons"),
+    ("cc0", "creative commons", r"creative commons (?:cc )?zero(?: 1 0)?(?: universal)?"),
+    ("cc-by-nc-nd", "cc by", r"cc by nc nd(?: [1234] 0)?"),
+    ("cc-by-nc-sa", "cc by", r"cc by nc sa(?: [1234] 0)?"),
+    ("cc-by-nc", "cc by", r"cc by nc(?: [1234] 0)?"),
+    ("cc-by-nd", "cc by", r"cc by nd(?: [1234] 0)?"),
+    ("cc-by-sa", "cc by", r"cc by sa(?: [1234] 0)?"),
+    ("cc-by", "cc by", r"cc by(?: [1234] 0)?"),
+    ("cc-by-nc-nd", "creative commons", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?(?: [1234] 0)?"),
+    ("cc-by-nc-sa", "creative commons", r"creative commons attribution non ?commercial share ?alike(?: [1234] 0)?"),
+    ("cc-by-nc", "creative commons", r"creative commons attribution non ?commercial(?: [1234] 0)?"),
+    ("cc-by-nd", "creative commons", r"creative commons attribution no ?deriv(?:ative)?s?(?: works)?(?: [1234] 0)?"),
+    ("cc-by-sa", "creative commons", r"creative commons attribution share ?alike(?: [1234] 0)?"),
+    ("cc-by", "creative commons", r"creative commons attribution(?: [1234] 0)?"),
+    ("creative-commons", "creative commons", r"creative commons"),
 )
 
-#: How a name is spoken of: keyword, expression around it, confidence.
+#: How a name is spoken of: keyword (none beside the name's hint), expression around it, confidence.
 FORMS = (
     ("licensed", "(?:is |are )?(?:dual )?licensed under (?:the )?(?:terms of (?:the )?)?(?:a )?{}(?: licen[cs]e)?", 0.95),
     ("released", "(?:is |are )?released under (?:the )?(?:terms of (?:the )?)?(?:a )?{}(?: licen[cs]e)?", 0.95),
     ("distributed", "(?:is |are )?distributed under (?:the )?(?:terms of (?:the )?)?(?:a )?{}(?: licen[cs]e)?", 0.95),
     ("spdx", "spdx licen[cs]e identifier {}", 1.0),
-    ("license", "(?:licen[cs]e )?{}", 0.7),
-    ("licence", "(?:licen[cs]e )?{}", 0.7),
+    (None, "(?:licen[cs]e )?{}", 0.7),
 )
 
-#: label, keyword, hint, expression of wording, confidence.
+#: label, keyword, hint, expression of wording, confidence. Every match has the words of the keyword and of the hint.
 WORDINGS = (
     ("mit", "permission", "charge", "permission is hereby granted free of charge to any person obtaining a copy", 1.0),
     ("isc", "permission", "fee", "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee", 1.0),
     ("bsd", "redistribution", "binary", "redistribution and use in source and binary forms with or without modification(?: are permitted)?", 1.0),
     ("bsd-3-clause", "endorse", "products", "may be used to endorse or promote products derived from this software", 0.9),
-    ("bsd-4-clause", "advertising", "acknowledgement", "all advertising materials mentioning features or use of this software must display", 0.9),
-    ("gpl", "redistribute", "foundation", "you can redistribute it and or modify it under the terms of the gnu general public license", 1.0),
+    ("bsd-4-clause", "advertising", "display", "all advertising materials mentioning features or use of this software must display", 0.9),
+    ("gpl", "redistribute", "general public", "you can redistribute it and or modify it under the terms of the gnu general public license", 1.0),
     ("lgpl", "redistribute", "lesser", "you can redistribute it and or modify it under the terms of the gnu lesser general public license", 1.0),
     ("gpl", "warranty", "merchantability", "without even the implied warranty of merchantability or fitness for a particular purpose", 0.6),
     ("apache-2", "compliance", "license", "you may not use this file except in compliance with the license", 0.9),
     ("mpl", "subject", "mozilla", "this source code form is subject to the terms of the mozilla public license", 1.0),
     ("zlib", "provided", "express", "this software is provided as is without any express or implied warranty", 0.8),
-    ("boost-1", "permission", "boost", "boost software license version 1 0", 0.9),
+    ("boost-1", "boost", "software", "boost software license version 1 0", 0.9),
     ("unlicense", "unencumbered", "domain", "this is free and unencumbered software released into the public domain", 1.0),
     ("public-domain", "public", "domain", "(?:released|dedicated|placed) (?:in|into|to) the public domain", 0.8),
     ("public-domain", "domain", "public", "public domain", 0.5),
@@ -125,25 +127,34 @@ WORDINGS = (
     ("cc0", "waived", "copyright", "has waived all copyright and related or neighboring rights", 0.9),
     ("cc-by-sa", "text", "commons", "text is available under the creative commons attribution share ?alike licen[cs]e", 0.95),
     ("ofl-1.1", "font", "reserved", "reserved font name", 0.5),
-    ("commercial", "commercial", "license", "commercial licen[cs]e (?:is )?required", 0.7),
-    ("non-commercial", "commercial", "use", "(?:for )?non ?commercial use only", 0.7),
+    ("commercial", "commercial", "required", "commercial licen[cs]e (?:is )?required", 0.7),
+    ("non-commercial", "use", "only", "(?:for )?non ?commercial use only", 0.7),
     ("research-only", "research", "purposes", "(?:for )?research purposes only", 0.6),
-    ("no-ai", "training", "used", "may not be used (?:for|to) train(?:ing)?(?: of)? (?:ai|machine learning|language) models", 0.8),
+    ("no-ai", "used", "models", "may not be used (?:for|to) train(?:ing)?(?: of)? (?:ai|machine learning|language) models", 0.8),
 )
 
 
 def rules() -> list[tuple[int, str, str, str, str, float]]:
-    """(priority, label, keyword, hint, expression, confidence), the highest priority first."""
+    """(priority, label, keyword, hint, expression, confidence), the highest priority first.
+
+    The keyword and the hint are pieces of a text of spaced words without which the expression matches nothing.
+    """
     out = [(label, keyword, hint, body, sure) for label, keyword, hint, body, sure in WORDINGS]
     for keyword, form, sure in FORMS:
         for label, hint, name in NAMES:
-            if name == "mit" and keyword in ("license", "licence"):
+            if name == "mit" and keyword is None:
                 continue  # A plain word of some languages.
-            out.append((label, keyword, hint, form.format(f"(?:{name})"), sure))
-    return [(k, label, keyword, hint, _words_pattern(body), sure)
+            out.append((label, keyword or hint, hint, form.format(f"(?:{name})"), sure))
+    return [(k, label, _gate(keyword), _gate(hint), _words_pattern(body), sure)
             for k, (label, keyword, hint, body, sure) in enumerate(out)]
 
 
+def _gate(hint: str) -> str:
+    """What a text of spaced words contains if it has the words of the hint."""
+    spaced = f" {hint.replace(' ', '  ')} "
+    return spaced.replace("* ", "")
+
+
 def _words_pattern(body: str) -> str:
     """The expression over a text whose words each have a space before and behind."""
     body = body.replace(" ?", "\0").replace(" ", "  ").replace("\0", "(?:  )?")
@@ -184,11 +195,10 @@ def detections(docs: DataFrame) -> DataFrame:
     table = F.broadcast(spark.createDataFrame(
         rules(), "rule int, label string, keyword string, hint string, pattern string, confidence double"))
     words = docs.select("doc_id", spread(F.col("text")).alias("words"))
-    keywords = F.array(*[F.lit(f" {k} ") for k in sorted({k for _, _, k, _, _, _ in rules()})])
+    keywords = F.array(*[F.lit(k) for k in sorted({k for _, _, k, _, _, _ in rules()})])
     # The outer form, so that no filter repeats the work on the text below the join.
     keyed = words.select("doc_id", "words", F.explode_outer(
-        F.filter(keywords, lambda k: F.contains(F.col("words"), k))).alias("spaced"))
-    keyed = keyed.withColumn("keyword", F.trim("spaced"))
+        F.filter(keywords, lambda k: F.contains(F.col("words"), k))).alias("keyword"))
     hit = keyed.join(table, "keyword").where(F.contains("words", "hint")).select(
         "doc_id", "rule", "label", "confidence", F.regexp_extract_all("words", "pattern", F.lit(0)).alias("hits"),
         F.when(F.regexp_like("words", "pattern"), F.split("words", F.col("pattern"), F.lit(-1))).alias("gaps")) \

@@ -415,6 +415,44 @@ def test_contained_detections_are_suppressed(spark):
 
 # Personal data
 
+def matches_of(parsed):
+    """Strings that an expression matches, with and without each optional part."""
+    out = [""]
+    for op, value in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(value)]
+        elif name == "IN":
+            more = [chr(v) for _, v in value]
+        elif name == "BRANCH":
+            more = [m for branch in value[1] for m in matches_of(branch)]
+        elif name == "SUBPATTERN":
+            more = matches_of(value[3])
+        else:
+            assert name == "MAX_REPEAT" and value[:2] == (0, 1)
+            more = ["", *matches_of(value[2])]
+        out = [a + m for a in out for m in more]
+    return out
+
+
+def test_every_match_of_a_rule_has_its_keyword_and_hint():
+    import re._parser
+
+    for _, _, keyword, hint, pattern, _ in licenses.rules():
+        for match in matches_of(re._parser.parse(pattern)):
+            assert keyword in match and hint in match, (keyword, hint, match)
+    assert len({r[4] for r in licenses.rules()}) > 380
+
+
+def test_bare_names_are_found_without_the_word_license(spark):
+    texts = {1: ("Text under CC BY-SA 4.0", "cc-by-sa"), 2: ("GPLv3", "gpl-3"), 3: ("Apache 2.0", "apache-2"),
+             4: ("licenses: LGPL 2.1", "lgpl-2.1"), 5: ("PSF licence", "python-2"), 6: ("an isc mplx", "isc"),
+             7: ("noncommercial use only", "non-commercial"), 8: ("a simple discussion, mit ruby", "")}
+    got = {r.doc_id: r.labels for r in licenses.scanned(
+        frame(spark, [t for t, _ in texts.values()], list(texts))).collect()}
+    assert got == {k: label for k, (_, label) in texts.items()}
+
+
 def test_patterns_equal_their_expressions():
     r = random.Random(9)
     for _ in range(300):
