@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from headway.llm import decontaminate, exact_dedup, language, licenses, lm, near_dedup, packing, pages, pii, \
-    suffix_dedup
+    simhash, suffix_dedup
 from headway.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,6 +98,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary())
 
 
+@query("op13_simhash_near_dedup")
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.similar_groups(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
