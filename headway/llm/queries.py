@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from headway.llm import decontaminate, exact_dedup, language, licenses, lm, near_dedup, packing, pages, pii, \
-    simhash, suffix_dedup
+from headway.llm import collocations, conversations, decontaminate, exact_dedup, language, licenses, lm, \
+    near_dedup, packing, pages, pii, simhash, suffix_dedup
 from headway.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,6 +98,46 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary())
 
 
+PHRASE_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM d),
+one AS (SELECT lang, ws AS w, count(*) AS f FROM (SELECT lang, unnest(ws) AS ws FROM w) GROUP BY ALL),
+two AS (SELECT lang, p[1] AS w1, p[2] AS w2, count(*) AS f FROM
+  (SELECT lang, unnest([[ws[i], ws[i + 1]] FOR i IN range(1, len(ws))]) AS p FROM w) GROUP BY ALL HAVING count(*) >= 10),
+three AS (SELECT lang, p[1] AS w1, p[2] AS w2, p[3] AS w3, count(*) AS f FROM
+  (SELECT lang, unnest([[ws[i], ws[i + 1], ws[i + 2]] FOR i IN range(1, len(ws) - 1)]) AS p FROM w) GROUP BY ALL
+  HAVING count(*) >= 10),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM one GROUP BY lang),
+inside AS (SELECT lang, w1, w2, max(f) AS most FROM (SELECT lang, w1, w2, f FROM three UNION ALL
+  SELECT lang, w2, w3, f FROM three) GROUP BY ALL),
+cuts AS (
+  SELECT t.lang, t.w1 || ' ' || t.w2 AS phrase, 1 AS k, t.f AS a, x.f AS l, y.f AS r FROM two t
+  JOIN one x ON (t.lang, t.w1) = (x.lang, x.w) JOIN one y ON (t.lang, t.w2) = (y.lang, y.w)
+  LEFT JOIN inside i ON (t.lang, t.w1, t.w2) = (i.lang, i.w1, i.w2) WHERE i.most IS NULL OR 100 * i.most < 50 * t.f
+  UNION ALL
+  SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, 1, t.f, x.f, y.f FROM three t
+  JOIN one x ON (t.lang, t.w1) = (x.lang, x.w) JOIN two y ON (t.lang, t.w2, t.w3) = (y.lang, y.w1, y.w2)
+  UNION ALL
+  SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, 2, t.f, x.f, y.f FROM three t
+  JOIN two x ON (t.lang, t.w1, t.w2) = (x.lang, x.w1, x.w2) JOIN one y ON (t.lang, t.w3) = (y.lang, y.w)),
+scores AS (SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM cuts),
+lowest AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM lowest JOIN n USING (lang) QUALIFY rank <= 2000"""
+
+
+@query("op11_phrase_collocations", PHRASE_SQL)
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op12_conversation_repair")
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(table(spark, sf_dir, "conversations"))
+
+
 @query("op13_simhash_near_dedup")
 def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.similar_groups(table(spark, sf_dir, "documents"))
