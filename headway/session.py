@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,32 +60,66 @@ def is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
 
+#: Folders made for local sessions that name none, by application.
+_LOCAL_ROOTS: dict[str, str] = {}
+#: Where each materialised table that is still in use lies.
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir``.
 
-    A machine-local folder is used only on a local master with the setting unset.
+    A machine-local folder is used only on a local master with the setting unset; the setting belongs
+    to the running context and cannot be changed, so the folder is remembered here.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     if not is_local(spark):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    root = tempfile.mkdtemp(prefix="headway-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    name = spark.sparkContext.applicationId
+    if name not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[name] = tempfile.mkdtemp(prefix="headway-")
+    return _LOCAL_ROOTS[name]
+
+
+def own_root(spark: SparkSession) -> str:
+    """This application's folder below the shared root."""
+    return f"{shared_root(spark)}/headway/{spark.sparkContext.applicationId}"
 
 
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below the shared root."""
-    return f"{shared_root(spark)}/headway/{label}-{uuid.uuid4().hex}"
+    return f"{own_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared file system; one that is missing is no error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write a DataFrame below the shared root and read it back.
 
     Cuts the lineage, so a branch that reads the result twice computes it once, and the result
-    outlives any executor.
+    outlives any executor. ``discard`` removes a table that a later one has replaced.
     """
     path = work_dir(df.sparkSession, label)
     df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove materialised tables that nothing reads any more; other DataFrames are left alone."""
+    for table in tables:
+        path = _WRITTEN.pop(table, None)
+        if path is not None:
+            remove(table.sparkSession, path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Remove all that this application has written below the shared root, results included."""
+    remove(spark, own_root(spark))
