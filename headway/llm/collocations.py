@@ -30,8 +30,8 @@ UNKNOWN = "und"
 HEAD, TILE = 4096, 512
 #: A tile is counted densely when so many of its cells' number stand in the buffer.
 DENSE = TILE * TILE // 8
-BUFFER = 1 << 21
-TEXT_AT_ONCE = 8 << 20
+BUFFER = 1 << 20
+TEXT_AT_ONCE = 3 << 20
 FILTER_BITS = 26
 #: Parts in which the first places of a language are sought before they are ranked together.
 PARTS = 256
