@@ -8,8 +8,9 @@ from headway import adapters
 from headway.operators import clean
 from headway.registry.base import query, sql
 from headway.registry.realtime import ROUNDED_PAIRS, rounded
+from headway.session import work_dir
 from headway.sinks import lake
-from headway.streaming import jobs, runner
+from headway.streaming import jobs, presence, runner
 
 # Windows that the final watermark, 60 seconds behind the newest event, has closed.
 CLOSED = "epoch_ms((SELECT max(ts) FROM events)) - 60000"
@@ -48,11 +49,21 @@ def stream_dedup(spark, sf_dir):
     return runner.to_table(jobs.dedup(positions(spark, sf_dir)), "dedup")
 
 
+#: Deliveries of the streams whose state expires.
+BATCHES = 5
+WIDE_LIFETIME_S = 6 * 3600
+
+
+def arriving(spark, sf_dir):
+    """Positions in several batches by time, as a feed delivers them."""
+    return runner.arrivals(adapters.positions(adapters.table(spark, sf_dir, "events")), "event_ts", BATCHES, "arriving")
+
+
 @query("stream_latest_state", sql("latest", "SELECT * FROM latest"))
 def stream_latest_state(spark, sf_dir):
-    versions = runner.to_versions(jobs.latest_state(positions(spark, sf_dir)), "latest")
-    newest = clean.newest_per(versions, ["vehicle_id"], [F.col("version")])
-    return newest.drop("version")
+    told = runner.to_versions(jobs.latest_state(arriving(spark, sf_dir)), "latest")
+    newest = clean.newest_per(told, ["vehicle_id"], [F.col(c) for c in presence.NEWEST])
+    return newest.drop("version", "first_seen", "expires_at", "alive")
 
 
 def vehicle_sessions(gap_s: int) -> str:
@@ -75,6 +86,42 @@ def stream_expired_state(spark, sf_dir):
     return rows.select("entity_id", "vehicle_id", "route_id", "event_ts", "expires_at")
 
 
+@query("stream_live_vehicles", sql("positions", f"""
+    SELECT vehicle_id, entity_id, event_ts, first_seen, expires_at
+    FROM (SELECT *, min(event_ts) OVER (PARTITION BY vehicle_id, session_no) AS first_seen,
+            max(event_ts) OVER (PARTITION BY vehicle_id, session_no)
+            + interval '{WIDE_LIFETIME_S} seconds' AS expires_at FROM ({vehicle_sessions(WIDE_LIFETIME_S)})
+          QUALIFY row_number() OVER (PARTITION BY vehicle_id ORDER BY ingested_at DESC) = 1)
+    WHERE epoch_ms(expires_at) > {CLOSED}"""))
+def stream_live_vehicles(spark, sf_dir):
+    """Vehicles left in the upserted table when all batches and the last timers have run."""
+    told = jobs.latest_state(arriving(spark, sf_dir), WIDE_LIFETIME_S)
+    base = work_dir(spark, "live")
+    writer = presence.live_table(told, ["vehicle_id"], f"{base}/live", f"{base}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return presence.read_live(told, f"{base}/live").select(
+        "vehicle_id", "entity_id", "event_ts", "first_seen", "expires_at")
+
+
+@query("stream_route_members", sql("positions", f"""
+    SELECT route_id, vehicle_id, min(event_ts) AS first_seen,
+      max(event_ts) + interval '3600 seconds' AS expires_at,
+      epoch_ms(max(event_ts)) + 3600000 > {CLOSED} AS alive
+    FROM (SELECT *, sum(opens) OVER (PARTITION BY route_id, vehicle_id ORDER BY event_ts, ingested_at
+            ROWS UNBOUNDED PRECEDING) AS session_no
+          FROM (SELECT *, CASE WHEN event_ts <= lag(event_ts) OVER (
+                  PARTITION BY route_id, vehicle_id ORDER BY event_ts, ingested_at)
+                  + interval '3600 seconds' THEN 0 ELSE 1 END AS opens
+                FROM positions WHERE route_id IS NOT NULL))
+    GROUP BY route_id, vehicle_id, session_no"""))
+def stream_route_members(spark, sf_dir):
+    """Every stay of a vehicle on a route as last told, with an hour's lifetime: routes never fall silent then."""
+    told = runner.to_versions(jobs.route_members(arriving(spark, sf_dir), 3600), "members")
+    last = clean.newest_per(told, ["route_id", "vehicle_id", "first_seen"],
+                            [F.col("version"), F.col("expires_at"), ~F.col("alive")])
+    return last.select("route_id", "vehicle_id", "first_seen", "expires_at", "alive")
+
+
 @query("stream_route_sessions", sql("positions", f"""
     SELECT DISTINCT route_id, session_start, session_end, vehicle_id
     FROM (SELECT route_id, vehicle_id, min(event_ts) OVER s AS session_start,
@@ -88,4 +135,6 @@ def stream_expired_state(spark, sf_dir):
           WINDOW s AS (PARTITION BY route_id, session_no))
     WHERE epoch_ms(session_end) <= {CLOSED}"""))
 def stream_route_sessions(spark, sf_dir):
-    return runner.to_table(jobs.route_sessions(positions(spark, sf_dir)), "sessions")
+    members = runner.to_versions(jobs.route_members(arriving(spark, sf_dir)), "members")
+    windows = runner.to_table(jobs.route_windows(arriving(spark, sf_dir)), "windows")
+    return jobs.listed_vehicles(members, windows)

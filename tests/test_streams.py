@@ -10,7 +10,7 @@ from headway import schemas
 from headway.operators import alerts, clean, state
 from headway.sinks import lake, messages as message_sinks
 from headway.sources import messages
-from headway.streaming import jobs, runner
+from headway.streaming import jobs, presence, runner
 
 START = datetime(2024, 1, 1, 8, tzinfo=timezone.utc)
 
@@ -157,13 +157,70 @@ def test_state_and_route_sets_expire_90_seconds_after_the_last_write(spark, inbo
     seconds = F.unix_seconds("expires_at") - int(START.timestamp())
     expired = runner.to_table(jobs.expired_state(stream), "ex")
     assert rows(expired.select("vehicle_id", "entity_id", seconds)) == [("A", "e1", 180), ("A", "e3", 390), ("B", "e2", 190)]
-    sets = runner.to_table(jobs.route_sessions(bronze(inbox.positions(spark))), "rs")
+    members = runner.to_versions(jobs.route_members(bronze(inbox.positions(spark))), "rm")
+    sets = jobs.listed_vehicles(members, runner.to_table(jobs.route_windows(bronze(inbox.positions(spark))), "rs"))
     ends = F.unix_seconds("session_end") - int(START.timestamp())
     assert rows(sets.select("vehicle_id", ends)) == [("A", 190), ("A", 390), ("B", 190)]
     batch = state.route_vehicle_sessions(messages.parse_positions(messages.file_batch(spark, str(inbox.folder))))
     assert rows(batch.select("vehicle_id", ends)) == [("A", 190), ("A", 390), ("B", 190), ("C", 1090)]
 
 
+def test_presences_live_and_expire_over_batches(spark, inbox, tmp_path):
+    """Someone is always on the route, so it never falls silent; all of them go and some come back."""
+    heard = [[("A", 0), ("C", 5)], [("B", 60)], [("A", 120), (None, 121), ("", 122)], [("B", 180), ("C", 170)],
+             [("A", 240), ("A", 200)], [("B", 300)], [("A", 390)]]
+    for n, batch in enumerate(heard):
+        inbox.put(*[message(10 * n + k, s, vehicle_id=v) for k, (v, s) in enumerate(batch)])
+    seconds = [(F.unix_seconds(c) - int(START.timestamp())).alias(c) for c in ("first_seen", "expires_at")]
+    told = runner.to_versions(jobs.route_members(bronze(inbox.positions(spark))), "rm")
+    assert told.select("version").distinct().count() >= 6  # The busy route speaks in every batch.
+    gone = told.where("NOT alive").select("vehicle_id", *seconds)
+    assert set(rows(gone)) == {("A", 0, 90), ("A", 120, 330), ("B", 60, 150), ("B", 180, 270), ("C", 5, 95),
+                               ("C", 170, 260)} and gone.count() == 6
+    assert told.where("alive AND vehicle_id = 'A'").count() == 4
+    assert rows(presence.live(told, ["route_id", "vehicle_id"]).select("vehicle_id", *seconds)) == [
+        ("A", 390, 480), ("B", 300, 390)]
+
+    def run():
+        changes = jobs.latest_state(bronze(inbox.positions(spark)))
+        presence.live_table(changes, ["vehicle_id"], str(tmp_path / "live"), str(tmp_path / "cp")) \
+            .trigger(availableNow=True).start().awaitTermination()
+        assert len(list((tmp_path / "live").iterdir())) <= 2  # Superseded versions are removed.
+        table = presence.read_live(changes, str(tmp_path / "live"))
+        return rows(table.select("vehicle_id", "entity_id", *seconds))
+
+    assert run() == [("A", "e60", 390, 480), ("B", "e50", 300, 390)]
+    inbox.put(message(90, 1000, vehicle_id="D"))  # After a restart, time goes on and the others expire.
+    assert run() == [("D", "e90", 1000, 1090)]
+
+
+def test_presences_merge_like_session_windows():
+    import random
+
+    import pandas as pd
+
+    r = random.Random(1)
+    events = [("k%d" % r.randrange(3), r.randrange(900), n) for n in range(200)]
+    frame = pd.DataFrame({"key": [k for k, _, _ in events], "event_ts": pd.to_datetime([t for _, t, _ in events], unit="s"),
+                          "n": [n for _, _, n in events]})
+    frame = frame.assign(first_seen=frame["event_ts"], expires_at=frame["event_ts"] + pd.Timedelta(seconds=9),
+                         _touched=False)
+    held = frame[:0]
+    for at in range(0, 200, 37):
+        held = presence.merged(pd.concat([held, frame[at:at + 37]]) if at else frame[:37], ["key"], ["n"])
+    want = []
+    for key in ("k0", "k1", "k2"):
+        own = sorted((t, n) for k, t, n in events if k == key)
+        group = []
+        for t, n in [*own, (10**6, 0)]:
+            if group and t > group[-1][0] + 9:
+                want.append((key, group[0][0], group[-1][0] + 9, max(n for _, n in group)))
+                group = []
+            group.append((t, n))
+    got = [(r.key, int(r.first_seen.timestamp()), int(r.expires_at.timestamp()), r.n) for r in held.itertuples()]
+    assert sorted(got) == want
+
+
 def test_two_sinks_in_one_session(spark, inbox, tmp_path):
     inbox.put(message(1, 0))
     writers = [message_sinks.json_sink(inbox.positions(spark), str(tmp_path / n), str(tmp_path / f"cp-{n}"), "entity_id")
