@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-import functools
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from headway.functions import geo, times
+from headway.functions import times
 from headway.functions.numbers import percent_of, round_mean, round_to
 from headway.operators import clean
-from headway.plans import asof
-from headway.session import materialise
-
-#: Each circle around far places is this much wider than the one before.
-CIRCLE_GROWTH = 64
+from headway.plans import asof, nearest
 
 SAMPLE_COLUMNS = ("vehicle_id", "route_id", "lat", "lon", "speed_mps", "current_status", "feed",
                   "event_ts")
@@ -102,109 +97,34 @@ def route_summary(routes: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def route_deviation(positions: DataFrame, shapes: DataFrame, threshold_m: float = 200.0,
-                    search_m: float = 1000.0) -> DataFrame:
-    """Distance of each position to the nearest point of its route's shape.
+                    cell_m: float = 200.0) -> DataFrame:
+    """Distance of each position to the nearest point of its route's shape, at any distance.
 
-    Points within ``search_m`` are found by cells; positions without one are measured against the
-    whole shape of their route. Without a route or a shape, distance and flag are null.
+    Without a route, a shape or coordinates, distance and flag are null.
     """
-    here = positions.select("entity_id", "event_ts", "route_id", "vehicle_id", "latitude",
-                            "longitude")
-    here = here.groupBy(*here.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    points = shapes.select(F.col("route_id").alias("_route"),
-                           F.col("shape_pt_lat").alias("_lat"), F.col("shape_pt_lon").alias("_lon"))
-    same_route = F.col("route_id") == F.col("_route")
-    near = _nearest(here, points, search_m, same_route, F.min("_distance").alias("_best"))
-    distance = geo.haversine_m(F.col("latitude"), F.col("longitude"), F.col("_lat"), F.col("_lon"))
-    # A position with a point nearby keeps it; the join gives it no further points.
-    far = near.join(points, same_route & F.col("_best").isNull(), "left")
-    best = far.groupBy(*near.columns).agg(F.min(distance).alias("_far"))
-    metres = round_to(F.coalesce("_best", "_far"), 3)
-    return best.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(
-        "entity_id", "route_id", "vehicle_id", "event_ts", metres.alias("distance_m"),
-        (metres > threshold_m).alias("is_deviation"))
-
-
-def nearest_stop(positions: DataFrame, stops: DataFrame, first_m: float = 1000.0) -> DataFrame:
+    here = positions.select("entity_id", "event_ts", "route_id", "vehicle_id", "latitude", "longitude")
+    points = shapes.select("route_id", F.col("shape_pt_lat").alias("_lat"),
+                           F.col("shape_pt_lon").alias("_lon")).distinct()
+    best = round_to(F.min("_distance"), 3).alias("distance_m")
+    found = nearest.nearest(here, points, best, ("route_id",), cell_m=cell_m)
+    return here.join(found, ["route_id", "latitude", "longitude"], "left").select(
+        "entity_id", "route_id", "vehicle_id", "event_ts", "distance_m",
+        (F.col("distance_m") > threshold_m).alias("is_deviation"))
+
+
+def nearest_stop(positions: DataFrame, stops: DataFrame, cell_m: float = 200.0) -> DataFrame:
     """The nearest stop of every position, at any distance; the smaller id wins a tie.
 
-    Each place is searched once, within ``first_m``. Places without a stop there are gathered in
-    small cells; one place stands for its cell in ever wider circles, and only stops that may be
-    the nearest of some place of the cell are compared with all of them. Stops of one place count
-    once. Without coordinates or stops, both results are null.
+    Each place is searched once, and stops of one place count once. Without coordinates or stops, both
+    results are null.
     """
     here = positions.select("entity_id", "event_ts", "latitude", "longitude")
     points = stops.groupBy(F.col("stop_lat").alias("_lat"), F.col("stop_lon").alias("_lon")).agg(
         F.min("stop_id").alias("stop_id"))
-    rank = F.min(F.when(F.col("_distance").isNotNull(), F.struct(
-        round_to(F.col("_distance"), 3).alias("d"), F.col("stop_id").alias("s")))).alias("_best")
-    places = here.select("latitude", "longitude").where(
-        F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).distinct()
-    near = materialise(_nearest(places, points, first_m, None, rank), "nearest")
-    found = near.where(F.col("_best").isNotNull())
-    far = near.where(F.col("_best").isNull()).select("latitude", "longitude")
-    if not far.isEmpty():
-        found = found.unionByName(_nearest_far(far, points, first_m, rank))
+    rank = F.min(F.struct(round_to(F.col("_distance"), 3).alias("d"), F.col("stop_id").alias("s"))).alias("_best")
+    found = nearest.nearest(here, points, rank, cell_m=cell_m)
     return here.join(found, ["latitude", "longitude"], "left").select(
-        "entity_id", "event_ts", F.col("_best.s").alias("stop_id"),
-        F.col("_best.d").alias("distance_m"))
-
-
-def _nearest_far(far: DataFrame, points: DataFrame, first_m: float, best: Column) -> DataFrame:
-    """(latitude, longitude, _best) of places with no point within ``first_m``."""
-    size = first_m / 4
-    homes = geo.with_cell(far, "latitude", "longitude", size).withColumnsRenamed(
-        {"_band": "_hband", "_cell": "_hcell"})
-    # A cell is less than four sizes across, so a place of it is at most that much nearer to a
-    # point, or farther from it, than the place that stands for the cell.
-    slack = 2 * 4 * size
-    left = homes.groupBy("_hband", "_hcell").agg(
-        F.min(F.struct("latitude", "longitude")).alias("_at")).select("_hband", "_hcell", "_at.*")
-    candidates, reach = [], first_m
-    while True:
-        reach *= CIRCLE_GROWTH
-        whole = reach >= geo.HALF_ROUND_M
-        least = materialise(_nearest(left, points, reach, None, F.min("_distance").alias("_least")),
-                            "circle")
-        sure = F.lit(whole) | F.coalesce(F.col("_least") + F.lit(slack) <= reach, F.lit(False))
-        pairs = _pairs(least.where(sure), points, reach, None)
-        candidates.append(pairs.where(F.col("_distance") <= F.col("_least") + F.lit(slack)).select(
-            "_hband", "_hcell", "_lat", "_lon", "stop_id"))
-        left = least.where(~sure).drop("_least")
-        if whole or left.isEmpty():
-            break
-    maybe = functools.reduce(DataFrame.unionByName, candidates)
-    distance = geo.haversine_m(F.col("latitude"), F.col("longitude"), F.col("_lat"), F.col("_lon"))
-    return (homes.join(maybe, ["_hband", "_hcell"]).withColumn("_distance", distance)
-            .groupBy("latitude", "longitude").agg(best))
-
-
-def _nearest(here: DataFrame, points: DataFrame, search_m: float, also: Column | None,
-             best: Column) -> DataFrame:
-    """Each left row with an aggregate over the points within ``search_m`` (null when none is).
-
-    All candidates of a left row meet in one task and shrink to one row before the aggregate
-    shuffles. Left rows must differ.
-    """
-    return _pairs(here, points, search_m, also).groupBy(*here.columns).agg(best)
-
-
-def _pairs(here: DataFrame, points: DataFrame, search_m: float, also: Column | None) -> DataFrame:
-    """Left rows with the points within ``search_m``; a row without any stays, with nulls.
-
-    Only the points are repeated over neighbouring cells; a left row has one cell.
-    """
-    size = 2 * search_m
-    left = geo.with_cell(here, "latitude", "longitude", size)
-    right = (geo.with_cover(points, "_lat", "_lon", search_m, size)
-             .withColumnsRenamed({"_band": "_pband", "_cell": "_pcell"}))
-    distance = geo.haversine_m(F.col("latitude"), F.col("longitude"), F.col("_lat"), F.col("_lon"))
-    on = (F.col("_band") == F.col("_pband")) & (F.col("_cell") == F.col("_pcell"))
-    if also is not None:
-        on = on & also
-    on = (on & geo.near_latitude(F.col("latitude"), F.col("_lat"), search_m)
-          & (distance <= search_m))
-    return left.join(right, on, "left").withColumn("_distance", distance)
+        "entity_id", "event_ts", F.col("_best.s").alias("stop_id"), F.col("_best.d").alias("distance_m"))
 
 
 def congestion_grid(silver: DataFrame, cell_deg: float = 0.005) -> DataFrame:
