@@ -97,7 +97,7 @@ def route_summary(routes: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def route_deviation(positions: DataFrame, shapes: DataFrame, threshold_m: float = 200.0,
-                    cell_m: float = 200.0) -> DataFrame:
+                    cell_m: float = 800.0) -> DataFrame:
     """Distance of each position to the nearest point of its route's shape, at any distance.
 
     Without a route, a shape or coordinates, distance and flag are null.
@@ -112,7 +112,7 @@ def route_deviation(positions: DataFrame, shapes: DataFrame, threshold_m: float
         (F.col("distance_m") > threshold_m).alias("is_deviation"))
 
 
-def nearest_stop(positions: DataFrame, stops: DataFrame, cell_m: float = 200.0) -> DataFrame:
+def nearest_stop(positions: DataFrame, stops: DataFrame, cell_m: float = 800.0) -> DataFrame:
     """The nearest stop of every position, at any distance; the smaller id wins a tie.
 
     Each place is searched once, and stops of one place count once. Without coordinates or stops, both
