@@ -12,7 +12,9 @@ from headway.operators import clean, explore, kpis, quality
 from headway.registry.base import (HOUR_LABEL, IN_BOX, RANK, ROLLING, SPEED_LABEL,
                                    deduped, haversine, measures, query, rnd, rnd_mean,
                                    sql)
+from headway.plans import incremental
 from headway.session import materialise, work_dir
+from headway.sinks import lake as lake_sinks
 from headway.sources import lake
 
 WIDE_BUCKET_S = 6 * 3600
@@ -282,3 +284,15 @@ def dq_report(spark, sf_dir):
                   quality.report(clean.silver(bronze), "silver", silver_checks),
                   quality.report(kpis.reliability(clean.silver(bronze)), "gold",
                                  quality.gold_not_null())])
+
+
+@query("incremental_gold", sql("gold", "SELECT * FROM gold"))
+def incremental_gold(spark, sf_dir):
+    """Gold after three runs: the first half of the month, the second half, and two dates once more."""
+    bronze, root = work_dir(spark, "bronze"), work_dir(spark, "lake")
+    rows = clean.plausible(positions(spark, sf_dir))
+    lake_sinks.refresh(rows, bronze, lake_sinks.LAKE_PARTITIONS)
+    days = sorted(r[0] for r in rows.select("ingestion_date").distinct().collect())  # One row per date.
+    for part in (days[:len(days) // 2], days[len(days) // 2:], [days[0], days[-1]]):
+        incremental.run(spark, bronze, root, part)
+    return incremental.read(spark, root, "gold").drop("updated_at")
