@@ -32,7 +32,6 @@ HEAD, TILE = 4096, 512
 DENSE = TILE * TILE // 8
 BUFFER = 1 << 20
 TEXT_AT_ONCE = 3 << 20
-FILTER_BITS = 26
 #: Parts in which the first places of a language are sought before they are ranked together.
 PARTS = 256
 
@@ -102,35 +101,8 @@ def phrase_keys(keys: list[np.ndarray]) -> np.ndarray:
     return reduce(lambda left, word: tx.mixed(left * _STEP + word), keys)
 
 
-def filter_places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    bits = np.uint64(64 - FILTER_BITS)
-    return keys >> bits, (keys * _STEP) >> bits
-
-
-def passes(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    one, two = ((table[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
-                for p in filter_places(keys))
-    return one & two
-
-
-def _filter_words(batches):
-    """Non-zero words of the bit table of the phrases of a task."""
-    table = np.zeros(1 << FILTER_BITS - 6, np.uint64)
-    for batch in batches:
-        keys = phrase_keys([c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns])
-        for places in filter_places(keys):
-            np.bitwise_or.at(table, places >> np.uint64(6), np.uint64(1) << (places & np.uint64(63)))
-    at = np.flatnonzero(table)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(tx.signed(table[at]))], names=["at", "bits"])
-
-
 def bit_table(phrases: DataFrame, length: int) -> np.ndarray:
-    """The phrases' bit table; 8 MB at the driver whatever their number."""
-    made = phrases.select(*_names(length)).mapInArrow(_filter_words, "at long, bits long") \
-        .groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    table = np.zeros(1 << FILTER_BITS - 6, np.uint64)
-    table[made["at"].to_numpy()] = made["bits"].to_numpy().view(np.uint64)
-    return table
+    return tx.bit_table(phrases.select(*_names(length)), phrase_keys)
 
 
 def head(phrases: DataFrame, length: int) -> np.ndarray:
@@ -222,7 +194,7 @@ def _phrase_counter(length, seed, filters, lefts, rights):
             n = len(keys) - length + 2
             if n < 2:
                 continue
-            frequent = passes(filters.value, phrase_keys([keys[k:n + k] for k in range(length - 1)]))
+            frequent = tx.passes(filters.value, phrase_keys([keys[k:n + k] for k in range(length - 1)]))
             here = np.flatnonzero(frequent[:-1] & frequent[1:] & (piece[:n - 1] == piece[length - 1:]))
             for at in range(0, len(here), BUFFER):
                 tiles.add([keys[here[at:at + BUFFER] + k] for k in range(length)])

@@ -108,7 +108,9 @@ def conflicts(docs: DataFrame, prints: DataFrame) -> DataFrame:
     repeated = prints.groupBy("print", "n_bytes").count().where("count > 1 AND n_bytes > 0")
     members = prints.join(repeated.drop("count"), ["print", "n_bytes"], "left_semi") \
         .select("doc_id", "print", "n_bytes").distinct()
-    texts = tx.plain(docs).join(members, "doc_id").select("print", "n_bytes", "text")
+    members = materialise(members, "members")
+    texts = tx.among(tx.plain(docs), members.select("doc_id")).join(members, "doc_id") \
+        .select("print", "n_bytes", "text")
     chunks = texts.mapInArrow(_chunks, "print long, n_bytes long, at long, chunk binary")
     seen = chunks.groupBy("print", "n_bytes", "at", "chunk").agg(F.lit(1).alias("one"))
     return seen.groupBy("print", "n_bytes", "at").count().where("count > 1") \

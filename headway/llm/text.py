@@ -7,7 +7,7 @@ cannot disturb a join.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+from headway.session import materialise
+
 NO_ID = 2**63 - 1
 #: A task works on so many bytes of text at a time; a longer text is taken alone.
 SLICE_BYTES = 2 << 20
@@ -36,10 +38,74 @@ def given_id(column: str = "doc_id") -> Column:
     return F.when(F.col(column) != NO_ID, F.col(column)).alias(column)
 
 
+# Bit tables: sets of keys in a fixed number of bits. What is in the set always passes; what is not mostly does
+# not, less reliably the more keys there are. They only save work before an exact join.
+
+TABLE_BITS = 26
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+
+
+def table_places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    bits = np.uint64(64 - TABLE_BITS)
+    return keys >> bits, (keys * _STEP) >> bits
+
+
+def passes(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    one, two = ((table[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+                for p in table_places(keys))
+    return one & two
+
+
+def bit_table(keyed: DataFrame, keys: Callable[[list[np.ndarray]], np.ndarray]) -> np.ndarray:
+    """The bit table of ``keys(columns)`` over long columns; 8 MB, and up to 16 MB on its way to the driver."""
+    def gathered(batches):
+        table = np.zeros(1 << TABLE_BITS - 6, np.uint64)
+        for batch in batches:
+            own = keys([c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns])
+            for places in table_places(own):
+                np.bitwise_or.at(table, places >> np.uint64(6), np.uint64(1) << (places & np.uint64(63)))
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(signed(table[at]))], names=["at", "bits"])
+
+    made = keyed.mapInArrow(gathered, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(1 << TABLE_BITS - 6, np.uint64)
+    table[made["at"].to_numpy()] = made["bits"].to_numpy().view(np.uint64)
+    return table
+
+
+def id_keys(columns: list[np.ndarray]) -> np.ndarray:
+    return mixed(columns[0] + np.uint64(0x9E3779B97F4A7C15))
+
+
+def id_table(ids: DataFrame):
+    """A broadcast bit table of a column of ids."""
+    return ids.sparkSession.sparkContext.broadcast(bit_table(ids, id_keys))
+
+
+def listed(batch: pa.RecordBatch, table: np.ndarray) -> pa.RecordBatch:
+    """The rows whose id (first column) passes the table."""
+    ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    return batch.filter(pa.array(passes(table, id_keys([ids]))))
+
+
+def among(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (doc_id, text) whose id may be listed; a join on them need not move the other texts."""
+    table = id_table(ids)
+
+    def chosen(batches):
+        for batch in batches:
+            yield listed(batch, table.value)
+
+    return texts.mapInArrow(chosen, texts.schema)
+
+
 def without(docs: DataFrame, judged: DataFrame, stays: Column) -> DataFrame:
-    """The documents less the ids all of whose judged rows fail ``stays``."""
-    gone = judged.groupBy(F.col("doc_id").alias("gone_id")).agg(F.max(stays).alias("stays")) \
-        .where("NOT stays").select("gone_id")
+    """The documents less the ids all of whose judged rows fail ``stays``.
+
+    The ids to drop are written first, so Spark knows their size when it chooses the join.
+    """
+    gone = materialise(judged.groupBy(F.col("doc_id").alias("gone_id")).agg(F.max(stays).alias("stays"))
+                       .where("NOT stays AND gone_id IS NOT NULL").select("gone_id"), "gone")
     return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
 
 

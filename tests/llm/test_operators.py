@@ -378,6 +378,29 @@ def test_near_groups_of_odd_rows(spark):
         ("4", "4", True), ("4", "4", True), ("9", "9", True), ("None", "4", False)]
 
 
+def test_near_groups_keep_the_rows_of_one_id_apart(spark):
+    """Rows of one id, or of none, link by their own texts, and no other text of the id stands for them."""
+    r = random.Random(11)
+
+    def text():
+        words = [f"w{r.randrange(3000)}" for _ in range(60)]
+        return " ".join(words), " ".join([*words, "more"])
+
+    (a, near_a), (b, near_b), (c, near_c), (d, near_d) = (text() for _ in range(4))
+    rows = [(5, a), (5, b), (6, near_a), (7, near_b), (None, c), (None, d), (8, near_c), (9, near_d), (None, "x y")]
+    got = near_dedup.near_groups(frame(spark, [t for _, t in rows], [i for i, _ in rows]).repartition(2)).collect()
+    assert sorted((str(g.doc_id), g.n_shingles, str(g.component_id)) for g in got) == sorted(
+        [("5", 56, "5"), ("5", 56, "5"), ("6", 57, "5"), ("7", 57, "5"), ("8", 57, "8"), ("9", 57, "9"),
+         ("None", 56, "8"), ("None", 56, "9"), ("None", 1, "None")])
+
+
+def test_bit_table_and_texts_among_ids(spark):
+    docs = frame(spark, [f"t{k}" for k in range(300)] + [None], [*range(299), 7, None]).select("doc_id", "text")
+    ids = spark.createDataFrame([(k,) for k in (3, 7, 250, tx.NO_ID)], "id long")
+    got = tx.among(tx.plain(docs), ids).select("doc_id").collect()
+    assert sorted(x.doc_id for x in got) == [3, 7, 7, 250, tx.NO_ID]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 90), (90, 95)], "a long, b long")
     got = dict(map(tuple, components.components(edges).collect()))
