@@ -44,6 +44,20 @@ def box_summary(stops: DataFrame, box: geo.Box = geo.STOPS_BOX, shown: int = 10)
     return counts.join(listed, "_feed_name")
 
 
+def box_findings(feeds: DataFrame, brought: DataFrame, stops: DataFrame, box: geo.Box = geo.STOPS_BOX) -> DataFrame:
+    """(feed_name, finding) for each of ``feeds`` without a stops table, or with stops outside the box.
+
+    ``brought`` has the (feed_name, table_name) that arrived; a feed in order has no row.
+    """
+    have = brought.where(F.col("table_name") == "stops").select("feed_name").distinct()
+    outside = box_summary(stops, box).select(
+        F.col("_feed_name").alias("feed_name"),
+        F.concat(F.col("violations").cast("string"), F.lit(" stops outside the box: "), "stop_ids").alias("finding"))
+    known = feeds.select("feed_name").distinct()
+    none = known.join(have, "feed_name", "left_anti").select("feed_name", F.lit("stops table missing").alias("finding"))
+    return none.unionByName(known.join(outside, "feed_name"))
+
+
 def names(spark: SparkSession, tables: list[str]) -> DataFrame:
     return spark.createDataFrame([(t,) for t in tables], "table_name string")
 

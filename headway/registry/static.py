@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from headway import adapters, schemas
 from headway.operators import quality, schedule
+from headway.plans import static_load
 from headway.registry.base import query, sql, subquery
-from headway.session import work_dir
+from headway.session import materialise, work_dir
 from headway.sinks import lake as lake_sinks
 from headway.sources import static_feed
 
@@ -82,6 +83,73 @@ def gtfs_table_counts(spark, sf_dir):
 OUTSIDE = "NOT (stop_lat BETWEEN 12.6e0 AND 13.3e0 AND stop_lon BETWEEN 77.2e0 AND 77.9e0)"
 
 
+# The gated load: a first day whose archives hold only stops in bounds, and a second day that must be stopped.
+
+IN_BOUNDS = "(stop_lat BETWEEN 12.6e0 AND 13.3e0 OR stop_lat IS NULL)"
+
+
+def in_bounds(spark, sf_dir):
+    rows = customer(spark, sf_dir)
+    lat = adapters.stops(rows).select(F.substring("stop_id", 2, 20).cast("long").alias("c_custkey"), "stop_lat")
+    good = lat.where(F.col("stop_lat").between(12.6, 13.3) | (F.col("c_custkey") % 50 == 0))  # Unreadable ones pass.
+    return rows.join(good.select("c_custkey"), "c_custkey", "left_semi")
+
+
+def two_days(spark, sf_dir, root, log):
+    first = adapters.schedule_archives(in_bounds(spark, sf_dir))
+    out = static_load.run(spark, materialise(first, "archives"), root, "2024-01-29", log)
+    try:
+        static_load.run(spark, materialise(archives(spark, sf_dir), "archives"), root, "2024-01-30", log)
+    except quality.ExpectationFailed as error:
+        return out, str(error)
+    raise AssertionError("the second day holds stops out of bounds")
+
+
+@query("static_load", sql("typed_stops", f"""
+    SELECT 'stops' AS table_name, feed_name, '2024-01-29' AS ingestion_date, stop_id AS id, stop_lat, cast_errors
+    FROM typed_stops WHERE {IN_BOUNDS}
+    UNION ALL SELECT 'routes', feed_name, '2024-01-29', id, NULL, 0
+    FROM (SELECT DISTINCT feed_name FROM typed_stops WHERE {IN_BOUNDS}
+      AND cast(string_split(feed_name, '-')[2] AS integer) % 2 = 0), (VALUES ('R1'), ('R2')) AS t(id)"""))
+def static_load_query(spark, sf_dir):
+    root, log = work_dir(spark, "static"), work_dir(spark, "log")
+    two_days(spark, sf_dir, root, log)
+    stops_, routes_ = (static_load.read(spark, root, t) for t in ("stops", "routes"))
+    return stops_.select(F.lit("stops").alias("table_name"), "_feed_name", "_ingestion_date", F.col("stop_id").alias("id"),
+                         "stop_lat", "_cast_errors").unionByName(
+        routes_.select(F.lit("routes").alias("table_name"), "_feed_name", "_ingestion_date",
+                       F.col("route_id").alias("id"), F.lit(None).cast("double").alias("stop_lat"), "_cast_errors")) \
+        .withColumnsRenamed({"_feed_name": "feed_name", "_ingestion_date": "ingestion_date", "_cast_errors": "cast_errors"})
+
+
+@query("static_load_log", sql("typed_stops", f"""
+    SELECT feed_name, date '2024-01-29' AS ingestion_date, 'success' AS status, cast(count(*)
+      + CASE WHEN cast(string_split(feed_name, '-')[2] AS integer) % 2 = 0 THEN 2 ELSE 0 END AS integer) AS rows_loaded,
+      (SELECT 'stops.stop_lat between: ' || count(*) || ' rows' FROM typed_stops WHERE NOT {IN_BOUNDS}) AS stopped_by
+    FROM typed_stops WHERE {IN_BOUNDS} GROUP BY feed_name"""))
+def static_load_log(spark, sf_dir):
+    """What the log holds after both days, with the failed check that stopped the second."""
+    root, log = work_dir(spark, "static"), work_dir(spark, "log")
+    _, stopped_by = two_days(spark, sf_dir, root, log)
+    return spark.read.parquet(log).select("feed_name", "ingestion_date", "status", "rows_loaded",
+                                          F.lit(stopped_by).alias("stopped_by"))
+
+
+@query("static_findings", sql("typed_stops", f"""
+    SELECT feed_name, count(*) || ' stops outside the box: '
+      || array_to_string(list_slice(list(stop_id ORDER BY stop_id), 1, 10), ',') AS finding
+    FROM typed_stops WHERE NOT (stop_lat BETWEEN 12.6e0 AND 13.3e0 AND stop_lon BETWEEN 77.2e0 AND 77.9e0)
+    GROUP BY feed_name
+    UNION ALL SELECT 'feed-' || r_name, 'stops table missing' FROM region"""))
+def static_findings(spark, sf_dir):
+    """Feeds named after regions are expected as well, but bring nothing."""
+    rows = materialise(archives(spark, sf_dir), "archives")
+    opened = static_feed.unpacked(rows)
+    expected = rows.select("feed_name").unionByName(adapters.table(spark, sf_dir, "region").select(
+        F.concat(F.lit("feed-"), "r_name").alias("feed_name")))
+    return schedule.box_findings(expected, static_feed.brought(opened), static_feed.typed(opened, "stops"))
+
+
 @query("stops_out_of_bbox", sql("stops", f"SELECT * FROM stops WHERE {OUTSIDE}"))
 def stops_out_of_bbox(spark, sf_dir):
     return schedule.outside_box(stops(spark, sf_dir))

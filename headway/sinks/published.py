@@ -9,6 +9,7 @@ a run that dies leaves folders that no list names.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -42,7 +43,7 @@ def publish(spark: SparkSession, root: str, after: int, content: dict) -> int:
     """Put a list in force in place of number ``after``; fails if another run was faster."""
     path = spark._jvm.org.apache.hadoop.fs.Path
     final = path(f"{root}/{LISTS}/{after + 1}.json")
-    aside = path(f"{root}/{LISTS}/.{after + 1}-{content['gold']}.tmp")
+    aside = path(f"{root}/{LISTS}/.{after + 1}-{uuid.uuid4().hex}.tmp")
     files = final.getFileSystem(spark._jsc.hadoopConfiguration())
     out = files.create(aside, True)
     out.write(bytearray(json.dumps(content, sort_keys=True).encode()))
@@ -52,16 +53,17 @@ def publish(spark: SparkSession, root: str, after: int, content: dict) -> int:
     return after + 1
 
 
-def dated(spark: SparkSession, root: str, layer: str, schema: T.StructType, dates: dict[str, str]) -> DataFrame:
+def dated(spark: SparkSession, root: str, layer: str, schema: T.StructType, dates: dict[str, str],
+          date: str = DATE) -> DataFrame:
     """A layer's rows of the given dates, each from the run that holds it; other folders are not read."""
     if not dates:
         return spark.createDataFrame([], schema)
     by_run: dict[str, list[str]] = {}
-    for date, run in dates.items():
-        by_run.setdefault(run, []).append(date)
+    for day, run in dates.items():
+        by_run.setdefault(run, []).append(day)
     chosen = F.lit(False)
     for run, own in by_run.items():
-        chosen = chosen | ((F.col("run") == run) & F.col(DATE).isin(*own))
+        chosen = chosen | ((F.col("run") == run) & F.col(date).isin(*own))
     rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("run", T.StringType())])) \
         .parquet(f"{root}/{layer}")
     return rows.where(chosen).select(*schema.names)
@@ -74,7 +76,7 @@ def vacuum(spark: SparkSession, root: str, layers: Sequence[str], keep: int = 2)
     for n in children(spark, f"{root}/{LISTS}"):
         if n.endswith(".json") and int(n.removesuffix(".json")) > last - keep:
             content = json.loads(spark.read.option("wholetext", True).text(f"{root}/{LISTS}/{n}").first().value)
-            named |= {content["gold"], *content["dates"].values()}
+            named |= {content.get("gold"), *content["dates"].values()}
         else:
             remove(spark, f"{root}/{LISTS}/{n}")
     gone = sorted({(layer, n) for layer in layers for n in children(spark, f"{root}/{layer}")
