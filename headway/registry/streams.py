@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from headway import adapters
+from headway import adapters, schemas
 from headway.operators import clean
-from headway.registry.base import query, sql
+from headway.registry import realtime
+from headway.registry.base import query, sql, subquery
 from headway.registry.realtime import ROUNDED_PAIRS, rounded
 from headway.session import work_dir
-from headway.sinks import lake
+from headway.sinks import lake, messages as message_sinks
+from headway.sources import lake as lake_source, messages
 from headway.streaming import jobs, presence, runner
 
 # Windows that the final watermark, 60 seconds behind the newest event, has closed.
@@ -26,8 +28,10 @@ def positions(spark, sf_dir):
 
 @query("stream_bronze", sql("bronze", "SELECT * FROM bronze"))
 def stream_bronze(spark, sf_dir):
-    rows = lake.bronze_rows(positions(spark, sf_dir))
-    return runner.to_table(rows, "bronze", lake.LAKE_PARTITIONS)
+    base = work_dir(spark, "bronze")
+    writer = lake.bronze_sink(positions(spark, sf_dir), f"{base}/data", f"{base}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return lake_source.bronze(spark, f"{base}/data")
 
 
 @query("stream_delay_alerts", sql("delays", "SELECT * FROM delays"))
@@ -138,3 +142,104 @@ def stream_route_sessions(spark, sf_dir):
     members = runner.to_versions(jobs.route_members(arriving(spark, sf_dir)), "members")
     windows = runner.to_table(jobs.route_windows(arriving(spark, sf_dir)), "windows")
     return jobs.listed_vehicles(members, windows)
+
+
+# Message sources: JSON text in several deliveries, with unreadable, late and repeated messages among them.
+# A message belongs to the delivery of its sixth of the month; every 37th comes two deliveries later, and
+# every 41st comes again at once and with the next delivery. What a delivery holds is late by the watermark
+# of the delivery before, which knows the newest message of all earlier ones.
+
+DELIVERY = "least(4, (day(make_timestamp(timestamp * 1000000)) - 1) // 6)"
+
+subquery("delivered", "vehicle_messages", f"""
+    SELECT *, make_timestamp(timestamp * 1000000) AS event_ts, entity_id NOT LIKE '%7' AS readable,
+      unnest(CASE WHEN ingested_at % 41 = 0 THEN [own, own, least(4, own + 1)] ELSE [own] END) AS delivery
+    FROM (SELECT *, CASE WHEN ingested_at % 37 = 0 THEN least(4, {DELIVERY} + 2) ELSE {DELIVERY} END AS own
+          FROM vehicle_messages)""")
+
+subquery("in_time", "delivered", """
+    SELECT d.*, d.event_ts <= w.mark AS late FROM delivered d LEFT JOIN (
+      SELECT delivery, max(max(event_ts)) OVER (ORDER BY delivery ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING)
+        - interval '60 seconds' AS mark
+      FROM delivered WHERE readable GROUP BY delivery) w USING (delivery)""")
+
+
+def delivered(spark, sf_dir):
+    """The folder of message files."""
+    flat = realtime.flat_vehicles(spark, sf_dir)
+    own = F.least(F.lit(4), F.expr("int((day(timestamp_seconds(timestamp)) - 1) div 6)"))
+    own = F.when(F.col("ingested_at") % 37 == 0, F.least(F.lit(4), own + 2)).otherwise(own)
+    times_ = F.when(F.col("ingested_at") % 41 == 0, F.array(own, own, F.least(F.lit(4), own + 1))).otherwise(F.array(own))
+    raw = flat.select(F.explode(times_).alias("delivery"), F.col("entity_id").alias("key"),
+                      F.to_json(F.struct(*flat.columns)).alias("value"))
+    cut = F.when(F.col("key").endswith("7"), F.expr("left(value, length(value) - 9)")).otherwise(F.col("value"))
+    return runner.deliveries(raw.select("delivery", cut.alias("value")), "delivery", 5, "messages")
+
+
+def source_rows(spark, sf_dir):
+    raw = messages.file_stream(spark, delivered(spark, sf_dir), 1)
+    return runner.observed(messages.once(messages.parse_positions(raw)), "source")
+
+
+@query("stream_positions_source", sql("in_time", """
+    SELECT DISTINCT entity_id, feed, vehicle_id, trip_id, route_id, latitude, longitude, speed_mps, event_ts
+    FROM in_time WHERE readable AND late IS NOT TRUE"""))
+def stream_positions_source(spark, sf_dir):
+    return source_rows(spark, sf_dir)[0].select(
+        "entity_id", "feed", "vehicle_id", "trip_id", "route_id", "latitude", "longitude", "speed_mps", "event_ts")
+
+
+@query("stream_source_counts", sql("in_time", """
+    SELECT count(*) AS delivered, count(*) FILTER (NOT readable) AS unreadable,
+      count(*) FILTER (readable AND late IS TRUE) AS late,
+      count(DISTINCT entity_id) FILTER (readable AND late IS NOT TRUE) AS kept,
+      count(*) FILTER (readable AND late IS NOT TRUE)
+        - count(DISTINCT entity_id) FILTER (readable AND late IS NOT TRUE) AS repeated FROM in_time"""))
+def stream_source_counts(spark, sf_dir):
+    """What became of the messages; the late ones are counted by the query's progress."""
+    rows, run = source_rows(spark, sf_dir)
+    raw = spark.read.text(delivered(spark, sf_dir))
+    readable = messages.parse_positions(raw).count()
+    late = runner.late_rows(run)
+    return rows.agg(F.count(F.lit(1)).alias("kept")).select(
+        F.lit(runner.input_rows(run)).cast("long").alias("delivered"),
+        F.lit(runner.input_rows(run) - readable).cast("long").alias("unreadable"), F.lit(late).cast("long").alias("late"),
+        "kept", (F.lit(readable - late).cast("long") - F.col("kept")).alias("repeated"))
+
+
+@query("stream_trip_updates_source", sql("stop_messages", """
+    SELECT entity_id, trip_id, route_id, vehicle_id, stop_sequence, stop_id, arrival_delay, departure_delay, event_ts
+    FROM stop_messages"""))
+def stream_trip_updates_source(spark, sf_dir):
+    nested = realtime.nested_updates(spark, sf_dir)
+    day = F.expr("int(least(4, (day(timestamp_seconds(feed_timestamp)) - 1) div 6))")
+    raw = nested.select(day.alias("delivery"), F.to_json(F.struct(*nested.columns)).alias("value"))
+    folder = runner.deliveries(raw, "delivery", 5, "updates")
+    rows = messages.parse_trip_updates(messages.file_stream(spark, folder, 1))
+    return runner.to_table(rows, "updates").select(
+        "entity_id", "trip_id", "route_id", "vehicle_id", "stop_sequence", "stop_id", "arrival_delay",
+        "departure_delay", "event_ts")
+
+
+# Alert sinks: JSON lines, read back by their declared layouts. JSON text holds milliseconds.
+
+def through_json(spark, stream, layout, key):
+    base = work_dir(spark, "alerts")
+    writer = message_sinks.json_sink(stream, f"{base}/data", f"{base}/checkpoint", key)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return messages.parse(spark.read.text(f"{base}/data"), layout, key)
+
+
+@query("stream_delay_json", sql("delays", """
+    SELECT * REPLACE (date_trunc('milliseconds', event_ts) AS event_ts) FROM delays WHERE trip_id IS NOT NULL"""))
+def stream_delay_json(spark, sf_dir):
+    updates = adapters.trip_updates(events(spark, sf_dir))
+    return through_json(spark, jobs.delay_alerts(positions(spark, sf_dir), updates), schemas.DELAY_EVENT, "trip_id")
+
+
+@query("stream_bunching_json", sql("pairs", f"""
+    SELECT * REPLACE (date_trunc('milliseconds', window_start) AS window_start,
+      date_trunc('milliseconds', window_end) AS window_end) FROM ({ROUNDED_PAIRS} pairs)"""))
+def stream_bunching_json(spark, sf_dir):
+    found = jobs.bunching_alerts(positions(spark, sf_dir), positions(spark, sf_dir))
+    return rounded(through_json(spark, found, schemas.BUNCHING_ALERT, "route_id"))

@@ -85,6 +85,15 @@ def watermarked(df: DataFrame, delay: str = WATERMARK) -> DataFrame:
     return df.withWatermark("event_ts", delay)
 
 
+def once(df: DataFrame, key: str = "entity_id", delay: str = WATERMARK) -> DataFrame:
+    """Each message of a stream once: repeats go, and so do messages that come behind the watermark.
+
+    How many came late is in the query's progress (``runner.late_rows``). State holds the ids of the
+    last ``delay`` of event time.
+    """
+    return watermarked(df, delay).dropDuplicatesWithinWatermark([key])
+
+
 def with_vehicle(df: DataFrame) -> DataFrame:
     return df.where(blank_to_null(F.col("vehicle_id")).isNotNull())
 
