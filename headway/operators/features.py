@@ -80,11 +80,17 @@ def route_codes(panel: DataFrame) -> DataFrame:
     return ordinal_codes(panel, "route_id", "route_encoded")
 
 
+def with_history(panel: DataFrame, days: int = 3) -> DataFrame:
+    """The routes that have a row with two days before it, by counting: Gold's target is never null here."""
+    counts = panel.groupBy(*PANEL).agg(F.count(F.lit(1)).alias("_days"))
+    return counts.where(F.col("_days") >= days).select("route_id")
+
+
 def engineer(panel: DataFrame) -> DataFrame:
     """All feature columns; rows without two days of history are dropped."""
-    ready = with_lags(with_calendar(fill_with_medians(panel))).dropna(
-        subset=["lag_1_speed", "lag_2_speed"])
-    coded = ready.join(route_codes(ready), "route_id", "left")
+    filled = fill_with_medians(panel)
+    ready = with_lags(with_calendar(filled)).dropna(subset=["lag_1_speed", "lag_2_speed"])
+    coded = ready.join(route_codes(with_history(panel)), "route_id", "left")
     return coded.withColumn("feed_encoded", feed_code(F.col("feed")))
 
 

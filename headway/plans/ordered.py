@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from headway.session import materialise
+
 
 def magnitude_bucket(value: Column) -> Column:
     """Coarse bucket of a number, monotone in it, with at most some 130,000 different values.
@@ -22,11 +24,6 @@ def magnitude_bucket(value: Column) -> Column:
     return F.coalesce(bucket, F.lit(0).cast("long"))
 
 
-def prefix_bucket(value: Column, length: int = 3) -> Column:
-    """Coarse bucket of a text, monotone in it."""
-    return F.coalesce(F.substring(value, 1, length), F.lit(""))
-
-
 def running_counts(freq: DataFrame, keys: Sequence[str], bucket: str, order: str,
                    count: str) -> DataFrame:
     """Add ``_before`` (rows of the group sorted ahead of this value) and ``_total``."""
@@ -67,9 +64,19 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> D
 
 
 def ordinal_codes(df: DataFrame, column: str, name: str) -> DataFrame:
-    """0, 1, 2, ... for the distinct values of a column in sorted order."""
-    distinct = (df.where(F.col(column).isNotNull()).select(column).distinct()
-                .withColumn("_bucket", prefix_bucket(F.col(column)))
-                .withColumn("_n", F.lit(1).cast("long")))
-    ranked = running_counts(distinct, [], "_bucket", column, "_n")
-    return ranked.select(column, F.col("_before").cast("int").alias(name))
+    """0, 1, 2, ... for the distinct values of a column in sorted order.
+
+    The values are dealt to ranges whose borders Spark samples, so a common beginning does no harm. Each
+    range is numbered by itself; what lies before it is a sum over one row per range.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = df.where(F.col(column).isNotNull()).select(column).distinct().repartitionByRange(parts, column) \
+        .select(column, F.spark_partition_id().alias("_range"))
+    # Written, so that both readers see the same ranges.
+    ranges = materialise(ranges, "ranges")
+    sizes = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = sizes.select("_range", (F.sum("_n").over(
+        Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_ahead"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(column)) - 1
+    return ranges.withColumn("_inside", inside).join(ahead, "_range").select(
+        column, (F.col("_ahead") + F.col("_inside")).cast("int").alias(name))

@@ -145,6 +145,16 @@ def test_ordinal_codes_follow_the_sorted_order(spark):
     assert found == {n: i for i, n in enumerate(sorted(set(names), key=lambda s: s.encode()))}
 
 
+def test_ordinal_codes_spread_ids_with_a_common_start(spark):
+    ids = spark.range(3000).select(F.format_string("route-of-the-city-%05d", "id").alias("route_id"))
+    codes = ordinal_codes(ids.union(ids.limit(50)), "route_id", "code")
+    assert codes.where("code <> cast(right(route_id, 5) AS int)").count() == 0 and codes.count() == 3000
+    ranges = codes.select("route_id", (F.col("code") / 750).cast("int").alias("part"))
+    assert ranges.select("part").distinct().count() == 4
+    plan = codes._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan  # The ranges are written; nothing samples them twice.
+
+
 @pytest.mark.parametrize("gap", [90, 600])
 def test_gap_sessions_equal_brute_force(spark, gap):
     rng = random.Random(gap)
