@@ -32,6 +32,7 @@ HEAD, TILE = 4096, 512
 DENSE = TILE * TILE // 8
 BUFFER = 1 << 20
 TEXT_AT_ONCE = 3 << 20
+FILTER_BITS = 26
 #: Parts in which the first places of a language are sought before they are ranked together.
 PARTS = 256
 
@@ -102,7 +103,7 @@ def phrase_keys(keys: list[np.ndarray]) -> np.ndarray:
 
 
 def bit_table(phrases: DataFrame, length: int) -> np.ndarray:
-    return tx.bit_table(phrases.select(*_names(length)), phrase_keys)
+    return tx.bit_table(phrases.select(*_names(length)), phrase_keys, FILTER_BITS)
 
 
 def head(phrases: DataFrame, length: int) -> np.ndarray:

@@ -41,34 +41,33 @@ def given_id(column: str = "doc_id") -> Column:
 # Bit tables: sets of keys in a fixed number of bits. What is in the set always passes; what is not mostly does
 # not, less reliably the more keys there are. They only save work before an exact join.
 
-TABLE_BITS = 26
+TABLE_BITS = 24
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
-def table_places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    bits = np.uint64(64 - TABLE_BITS)
-    return keys >> bits, (keys * _STEP) >> bits
+def table_places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return keys >> np.uint64(64 - bits), (keys * _STEP) >> np.uint64(64 - bits)
 
 
 def passes(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     one, two = ((table[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
-                for p in table_places(keys))
+                for p in table_places(keys, 5 + len(table).bit_length()))
     return one & two
 
 
-def bit_table(keyed: DataFrame, keys: Callable[[list[np.ndarray]], np.ndarray]) -> np.ndarray:
-    """The bit table of ``keys(columns)`` over long columns; 8 MB, and up to 16 MB on its way to the driver."""
+def bit_table(keyed: DataFrame, keys: Callable[[list[np.ndarray]], np.ndarray], bits: int = TABLE_BITS) -> np.ndarray:
+    """The table of ``keys(columns)`` over long columns: 2**bits bits, and up to twice that on its way to the driver."""
     def gathered(batches):
-        table = np.zeros(1 << TABLE_BITS - 6, np.uint64)
+        table = np.zeros(1 << bits - 6, np.uint64)
         for batch in batches:
             own = keys([c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns])
-            for places in table_places(own):
+            for places in table_places(own, bits):
                 np.bitwise_or.at(table, places >> np.uint64(6), np.uint64(1) << (places & np.uint64(63)))
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(signed(table[at]))], names=["at", "bits"])
 
     made = keyed.mapInArrow(gathered, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    table = np.zeros(1 << TABLE_BITS - 6, np.uint64)
+    table = np.zeros(1 << bits - 6, np.uint64)
     table[made["at"].to_numpy()] = made["bits"].to_numpy().view(np.uint64)
     return table
 
