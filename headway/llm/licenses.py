@@ -189,51 +189,65 @@ def _base(spread_words: Column, n_words: Column) -> dict[str, Column]:
             "base": F.array_compact(F.array(*labels))}
 
 
+#: A row is known by its id and by two sums of its words, so rows of one id, or of none, stay apart.
+KEY = ("doc_id", "one", "two")
+
+
+def _worded(texts: DataFrame) -> DataFrame:
+    words = texts.select("doc_id", spread(F.col("text")).alias("words"))
+    return words.select("doc_id", F.xxhash64("words").alias("one"), F.xxhash64(F.lit(1), "words").alias("two"), "words")
+
+
 def detections(docs: DataFrame) -> DataFrame:
-    """doc_id, label, rule, start, end (words, end exclusive), confidence of what is not suppressed."""
-    spark = docs.sparkSession
+    """doc_id, label, rule, start, end (words, end exclusive), confidence of what is not suppressed.
+
+    Rows with an equal id and equal words are one.
+    """
+    return _detected(_worded(docs)).drop("one", "two")
+
+
+def _detected(words: DataFrame) -> DataFrame:
+    spark = words.sparkSession
     table = F.broadcast(spark.createDataFrame(
         rules(), "rule int, label string, keyword string, hint string, pattern string, confidence double"))
-    words = docs.select("doc_id", spread(F.col("text")).alias("words"))
     keywords = F.array(*[F.lit(k) for k in sorted({k for _, _, k, _, _, _ in rules()})])
     # The outer form, so that no filter repeats the work on the text below the join.
-    keyed = words.select("doc_id", "words", F.explode_outer(
+    keyed = words.select(*KEY, "words", F.explode_outer(
         F.filter(keywords, lambda k: F.contains(F.col("words"), k))).alias("keyword"))
     hit = keyed.join(table, "keyword").where(F.contains("words", "hint")).select(
-        "doc_id", "rule", "label", "confidence", F.regexp_extract_all("words", "pattern", F.lit(0)).alias("hits"),
+        *KEY, "rule", "label", "confidence", F.regexp_extract_all("words", "pattern", F.lit(0)).alias("hits"),
         F.when(F.regexp_like("words", "pattern"), F.split("words", F.col("pattern"), F.lit(-1))).alias("gaps")) \
         .where("size(hits) > 0")
-    each = hit.select("doc_id", "rule", "label", "confidence", F.posexplode(
+    each = hit.select(*KEY, "rule", "label", "confidence", F.posexplode(
         F.arrays_zip("hits", F.slice("gaps", F.lit(1), F.size("hits"))))).select(
-        "doc_id", "rule", "label", "confidence", "pos", _count(F.col("col.hits")).alias("size"),
+        *KEY, "rule", "label", "confidence", "pos", _count(F.col("col.hits")).alias("size"),
         _count(F.col("col.1")).alias("gap"))
-    order = Window.partitionBy("doc_id", "rule").orderBy("pos")
+    order = Window.partitionBy(*KEY, "rule").orderBy("pos")
     placed = each.distinct().withColumn("end", F.sum(F.col("gap") + F.col("size")).over(order)) \
         .withColumn("start", F.col("end") - F.col("size"))
-    outer = Window.partitionBy("doc_id").orderBy("start", F.desc("end"), "rule") \
+    outer = Window.partitionBy(*KEY).orderBy("start", F.desc("end"), "rule") \
         .rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("reach", F.max("end").over(outer)) \
-        .where("reach IS NULL OR reach < end").select("doc_id", "label", "rule", "start", "end", "confidence")
+        .where("reach IS NULL OR reach < end").select(*KEY, "label", "rule", "start", "end", "confidence")
 
 
 def scanned(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Null and empty texts have no words and no labels. The score is the highest confidence of a
-    detection, 1 with a base phrase and 0 without any detection. Rows that repeat an id share the
-    detections of the id. An empty table gives no rows.
+    detection, 1 with a base phrase and 0 without any detection. Rows that repeat an id, and rows
+    without one, are judged by their own text each. An empty table gives no rows.
     """
-    texts = tx.plain(docs)
-    words = texts.select("doc_id", spread(F.col("text")).alias("words"))
-    counted = words.select("doc_id", "words", _count(F.col("words")).alias("spaces"))
-    counted = counted.select("doc_id", "words", F.when(F.col("words") == "  ", F.lit(0).cast("long"))
+    words = _worded(tx.plain(docs))
+    counted = words.select(*KEY, "words", _count(F.col("words")).alias("spaces"))
+    counted = counted.select(*KEY, "words", F.when(F.col("words") == "  ", F.lit(0).cast("long"))
                              .otherwise(F.col("spaces")).alias("n_words"))
-    base = counted.select("doc_id", "n_words", *[c.alias(n) for n, c in _base(
+    base = counted.select(*KEY, "n_words", *[c.alias(n) for n, c in _base(
         F.col("words"), F.col("n_words")).items()])
-    more = detections(texts).groupBy("doc_id").agg(
+    more = _detected(words).groupBy(*KEY).agg(
         F.collect_set("label").alias("more"), F.max("confidence").alias("confidence"))
     both = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
-    return base.join(more, "doc_id", "left").select(
+    return base.join(more, list(KEY), "left").select(
         tx.given_id(), "n_words", "n_base", "first_word", "last_word",
         F.concat_ws(",", F.array_sort("base")).alias("base_labels"), F.concat_ws(",", both).alias("labels"),
         F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("confidence", F.lit(0.0))).alias("score"))
