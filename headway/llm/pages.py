@@ -3,12 +3,13 @@
 Each page scores its containers and votes for the generalised tag-class path of the best one; Spark adds
 up the votes of a host and the path with the most weight wins. The pages are then read again with the
 winning path of their host. The body takes part in the vote; where it wins, each page keeps its own best
-container. So does a page without the winning path, and one whose best container is the body when less than
-half of the body's weight lies on that path.
+container. So does a page where less than half of that container's weight lies on the winning path: a
+page of another template, say, whose teaser shares the path.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from dataclasses import dataclass, field
@@ -39,6 +40,11 @@ _FURNITURE_WORDS = frozenset(
     " newsletter notice notices overlay pager pagination popup promo promoted recommended related replies reply"
     " search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe tags toolbar widget"
     " widgets".split())
+#: Of these, what readers wrote; other words yield to a class that names the text itself.
+_READERS_WORDS = frozenset("comment comments disqus replies reply".split())
+_TEXT_WORDS = frozenset("article body content entry main post story text".split())
+#: Longer paths continue with their digest, so that deep nesting costs no more than its depth.
+_LONGEST_PATH = 1000
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
            "th": {"td", "th"}, "option": {"option"}}
 _TOP_TAGS = frozenset(("article", "main"))
@@ -61,20 +67,36 @@ class Page:
 
 
 def _label(tag: str, attributes: str) -> tuple[str, bool]:
-    """The generalised tag and classes, and whether they name furniture."""
-    found, words = [], set()
+    """The generalised tag and classes, and whether they name furniture.
+
+    A class that only names the text, such as ``post`` or ``entry-content``, outweighs one like ``share-enabled``.
+    """
+    found, words, text = [], set(), False
     for m in _CLASS.finditer(attributes):
         value = (m[2] or m[3] or m[4] or "").lower()
-        words.update(re.split(r"[\s_-]+", value))
+        for token in value.split():
+            parts = {w for w in re.split(r"[_-]+", token) if w}
+            words |= parts
+            text = text or bool(parts) and parts <= _TEXT_WORDS
         if m[1].lower() == "class":
             found += value.split()
     classes = sorted({re.sub(r"[0-9]+", "#", c) for c in found})
-    return ".".join([tag, *classes]), not words.isdisjoint(_FURNITURE_WORDS)
+    named = not words.isdisjoint(_FURNITURE_WORDS)
+    return ".".join([tag, *classes]), named and not (text and words.isdisjoint(_READERS_WORDS))
 
 
 def parse(source: str) -> Page:
-    """Blocks of text outside furniture, and the containers they lie in."""
+    """Blocks of text outside furniture, and the containers they lie in.
+
+    Where class names would leave nothing of a page, only its tags tell what furniture is.
+    """
+    page = _parse(source, True)
+    return page if page.blocks else _parse(source, False)
+
+
+def _parse(source: str, by_name: bool) -> Page:
     page, text, links = Page(), [], 0
+    open_links = open_tops = 0
     stack: list[tuple[str, int, bool, str]] = []     # tag, node, in furniture, path
     page.nodes.append(Node("", "html", -1, 0))
 
@@ -89,8 +111,11 @@ def parse(source: str) -> Page:
         links = 0
 
     def close(k: int) -> None:
+        nonlocal open_links, open_tops
         while len(stack) > k:
             tag, node, _, _ = stack.pop()
+            open_links -= tag == "a"
+            open_tops -= tag in _TOP_TAGS
             if node >= 0:
                 page.nodes[node].last = len(page.blocks)
 
@@ -98,7 +123,7 @@ def parse(source: str) -> Page:
         nonlocal links
         if piece and not (stack and stack[-1][2]):
             text.append(piece)
-            if any(s[0] == "a" for s in stack):
+            if open_links:
                 links += len(piece)
 
     at = 0
@@ -134,15 +159,17 @@ def parse(source: str) -> Page:
         above, path = (stack[-1][2], stack[-1][3]) if stack else (False, "")
         node = -1
         label, named = _label(tag, m[4]) if m[4] and m[4].strip() else (tag, False)
-        top = any(s[0] in _TOP_TAGS for s in stack)
-        furniture = above or tag in _FURNITURE or (tag == "header" and not top) \
-            or (named and tag not in ("html", "body", *_TOP_TAGS))
+        furniture = above or tag in _FURNITURE or (tag == "header" and not open_tops) \
+            or (by_name and named and tag not in ("html", "body", *_TOP_TAGS))
         if tag in _BLOCK and tag not in ("html", "body"):
-            path = f"{path}>{label}"
+            path = f"{path}>{label}" if len(path) < _LONGEST_PATH \
+                else f"{hashlib.md5(path.encode('utf-8', 'surrogatepass')).hexdigest()}>{label}"
         if tag in _CONTAINER and not furniture:
             parent = next((s[1] for s in reversed(stack) if s[1] >= 0), 0)
             node = len(page.nodes)
             page.nodes.append(Node(path, tag, parent, len(page.blocks)))
+        open_links += tag == "a"
+        open_tops += tag in _TOP_TAGS
         stack.append((tag, node, furniture, path))
     add(source[at:])
     flush()
@@ -191,7 +218,7 @@ def extract(source: str, path: str | None) -> str:
     def weight(blocks: list[int]) -> int:
         return sum(max(0, len(page.blocks[k]) - 2 * page.linked[k]) for k in blocks)
 
-    if not keep or (not best.path and 2 * weight(keep) < weight(own)):
+    if not keep or 2 * weight(keep) < weight(own):
         keep = own
     return "\n".join(page.blocks[k] for k in keep)
 

@@ -409,6 +409,14 @@ def test_components_of_a_long_chain(spark):
 
 # Licenses
 
+def test_labels_stay_with_their_row(spark):
+    texts = ["under the mit license", "hello world plain words", "apache license version 2", "more plain words"]
+    got = licenses.scanned(frame(spark, texts, [None, None, 3, 3])).collect()
+    assert sorted((str(r.doc_id), r.labels, r.n_words) for r in got) == [
+        ("3", "", 3), ("3", "apache-2", 4), ("None", "", 4), ("None", "mit", 4)]
+    assert sorted(r.score > 0 for r in got) == [False, False, True, True]
+
+
 def test_license_scan_equals_word_search(spark):
     texts = [None, "", "cc by nc cc by nc", "Under the MIT License, under the mit license!", "undér the mit license",
              "Apache License, Version 2.0 and CC-BY-NC 4.0", "licensed under the GNU General Public License, version 3",
@@ -558,9 +566,51 @@ def test_hosts_agree_on_a_path(spark):
     layout = '<div class="lead">{}</div><div class="story n{}">{}</div>'
     rows = [(k, "http://h.org/", layout.format(short, k, long)) for k in range(9)]
     rows.append((9, "http://h.org/", layout.format(long, 9, short)))
+    # Here the host's path holds more than half of what the largest container does, so it decides.
+    rows.append((10, "http://h.org/", layout.format("<p>" + "other " * 40 + "</p>", 10, long)))
+    got = {r.page_id: r.text.split() for r in pages.extracted(
+        spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[9] == ["word"] * 60  # A page with its text elsewhere keeps it.
+    assert got[0] == got[10] == ["word"] * 60
+
+
+def test_a_minority_template_keeps_its_article(spark):
+    """The winning path holds a teaser of the page only."""
+    article = "".join(f"<p>Sentence {k} of the article, long enough to count.</p>" for k in range(20))
+    caption = '<div class="caption">{}</div>'
+    rows = [(k, "http://h.org/", f"<body>{caption.format(article)}</body>") for k in range(9)]
+    rows.append((9, "http://h.org/", f'<body><div class="story">{article}</div>{caption.format("A teaser, brief.")}</body>'))
     got = {r.page_id: r.text for r in pages.extracted(
         spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[9] == "brief"
+    assert got[9].count("Sentence") == 20 and "teaser" not in got[9]
+
+
+@pytest.mark.parametrize("classes,kept", [
+    ("post share-enabled", True), ("entry-content tags", True), ("article-body promo", True), ("story", True),
+    ("comments post", False), ("share", False), ("post-comments", False), ("sidebar-content", False)])
+def test_class_words_of_text_and_furniture(classes, kept):
+    page = f'<body><div class="{classes}"><p>{"inner " * 30}</p></div><div><p>{"outer " * 20}</p></div></body>'
+    assert ("inner" in pages.extract(page, None)) == kept
+    # Where nothing else is on the page, a class name alone removes nothing.
+    assert "inner" in pages.extract(f'<div class="{classes}"><p>{"inner " * 30}</p></div>', None)
+
+
+def test_deep_nesting_and_generated_layouts():
+    assert pages.extract("<div>" * 20000 + "text", None) == "text"
+    r = random.Random(3)
+    noise = ['<nav><a href="/">menu words here</a></nav>', '<div class="sidebar"><p>side words</p></div>',
+             '<footer>foot words</footer>', "<script>code words</script>", '<form><input>form words</form>',
+             '<div class="comments"><p>reader words</p></div>', '<div class="cookie-notice">notice words</div>']
+    for _ in range(60):
+        blocks = [" ".join(r.choice(["alpha", "beta", "gamma"]) for _ in range(r.randint(12, 30))) + "."
+                  for _ in range(r.randint(3, 8))]
+        tag, depth = r.choice(["article", 'div class="post share-x"', 'div class="body7"', "main", "section"]), r.randrange(3)
+        inner = "".join(f"<p>{b}</p>" + (r.choice(noise[5:]) if r.random() < 0.2 else "") for b in blocks)
+        body = f"<{tag}>{'<div>' * depth}{inner}{'</div>' * depth}</{tag.split()[0]}>"
+        around = [r.choice(noise) for _ in range(r.randrange(5))]
+        at = r.randrange(len(around) + 1)
+        page = "<html><body>" + "".join(around[:at]) + body + "".join(around[at:]) + "</body></html>"
+        assert pages.extract(page, None).split("\n") == blocks
 
 
 def test_pages_with_text_in_the_body_vote_and_keep_it(spark):
