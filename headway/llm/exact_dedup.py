@@ -84,17 +84,21 @@ def _prints(batches):
              pa.array(sha, pa.string())], names=["doc_id", "n_chars", "n_bytes", "print", "text_sha256"])
 
 
-def _chunks(batches):
-    for batch in tx.slices(batches, text=2):
-        data, bounds = _stripped(batch.column(2))
-        raw, cut = data.tobytes(), [(k, a + i) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:]))
-                                    for i in range(0, b - a, COMPARE_BYTES)]
-        rows = np.array([k for k, _ in cut], np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)),
-             pa.array([int(at - bounds[k]) for k, at in cut], pa.int64()),
-             pa.array([raw[at:min(at + COMPARE_BYTES, bounds[k + 1])] for k, at in cut], pa.binary())],
-            names=["print", "n_bytes", "at", "chunk"])
+def _chunk_reader(table):
+    """Chunks of the texts whose id passes the table. The table is used here, so that a task needs one Python worker."""
+    def chunks(batches):
+        for batch in tx.slices(tx.listed(b, table.value) for b in batches):
+            data, bounds = _stripped(batch.column(1))
+            raw, cut = data.tobytes(), [(k, a + i) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:]))
+                                        for i in range(0, b - a, COMPARE_BYTES)]
+            rows = np.array([k for k, _ in cut], np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows)), pa.array(np.diff(bounds)[rows]),
+                 pa.array([int(at - bounds[k]) for k, at in cut], pa.int64()),
+                 pa.array([raw[at:min(at + COMPARE_BYTES, bounds[k + 1])] for k, at in cut], pa.binary())],
+                names=["doc_id", "n_bytes", "at", "chunk"])
+
+    return chunks
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
@@ -109,9 +113,9 @@ def conflicts(docs: DataFrame, prints: DataFrame) -> DataFrame:
     members = prints.join(repeated.drop("count"), ["print", "n_bytes"], "left_semi") \
         .select("doc_id", "print", "n_bytes").distinct()
     members = materialise(members, "members")
-    texts = tx.among(tx.plain(docs), members.select("doc_id")).join(members, "doc_id") \
-        .select("print", "n_bytes", "text")
-    chunks = texts.mapInArrow(_chunks, "print long, n_bytes long, at long, chunk binary")
+    read = _chunk_reader(tx.id_table(members.select("doc_id")))
+    chunks = tx.plain(docs).mapInArrow(read, "doc_id long, n_bytes long, at long, chunk binary") \
+        .join(members, ["doc_id", "n_bytes"])
     seen = chunks.groupBy("print", "n_bytes", "at", "chunk").agg(F.lit(1).alias("one"))
     return seen.groupBy("print", "n_bytes", "at").count().where("count > 1") \
         .select("print", "n_bytes").distinct()

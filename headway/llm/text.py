@@ -87,17 +87,6 @@ def listed(batch: pa.RecordBatch, table: np.ndarray) -> pa.RecordBatch:
     return batch.filter(pa.array(passes(table, id_keys([ids]))))
 
 
-def among(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows (doc_id, text) whose id may be listed; a join on them need not move the other texts."""
-    table = id_table(ids)
-
-    def chosen(batches):
-        for batch in batches:
-            yield listed(batch, table.value)
-
-    return texts.mapInArrow(chosen, texts.schema)
-
-
 def without(docs: DataFrame, judged: DataFrame, stays: Column) -> DataFrame:
     """The documents less the ids all of whose judged rows fail ``stays``.
 

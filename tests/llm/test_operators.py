@@ -394,11 +394,10 @@ def test_near_groups_keep_the_rows_of_one_id_apart(spark):
          ("None", 56, "8"), ("None", 56, "9"), ("None", 1, "None")])
 
 
-def test_bit_table_and_texts_among_ids(spark):
-    docs = frame(spark, [f"t{k}" for k in range(300)] + [None], [*range(299), 7, None]).select("doc_id", "text")
-    ids = spark.createDataFrame([(k,) for k in (3, 7, 250, tx.NO_ID)], "id long")
-    got = tx.among(tx.plain(docs), ids).select("doc_id").collect()
-    assert sorted(x.doc_id for x in got) == [3, 7, 7, 250, tx.NO_ID]
+def test_ids_that_pass_a_bit_table(spark):
+    table = tx.id_table(spark.createDataFrame([(k,) for k in (3, 7, 250, tx.NO_ID)], "id long")).value
+    batch = pa.RecordBatch.from_arrays([pa.array([*range(299), 7, tx.NO_ID]), pa.array(["t"] * 301)], names=["id", "t"])
+    assert sorted(tx.listed(batch, table).column(0).to_pylist()) == [3, 7, 7, 250, tx.NO_ID]
 
 
 def test_components_of_a_long_chain(spark):
