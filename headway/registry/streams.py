@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from headway import adapters, schemas
-from headway.operators import clean
+from headway.operators import alerts, clean
 from headway.registry import realtime
-from headway.registry.base import query, sql, subquery
+from headway.registry.base import query, rnd, sql, subquery
 from headway.registry.realtime import ROUNDED_PAIRS, rounded
-from headway.session import work_dir
+from headway.session import materialise, work_dir
 from headway.sinks import lake, messages as message_sinks
 from headway.sources import lake as lake_source, messages
 from headway.streaming import jobs, presence, runner
@@ -46,6 +46,24 @@ def stream_bunching_alerts(spark, sf_dir):
     return rounded(runner.to_table(found, "bunching"))
 
 
+@query("stream_alerts_by_measured_load", sql("delays pairs", f"""
+    SELECT 'delay' AS kind, route_id, vehicle_id, event_ts, cast(delay_sec AS double) AS measure FROM delays
+    UNION ALL SELECT 'bunching', route_id, vehicle_id_a, window_start, {rnd('distance_m', 3)} FROM pairs"""))
+def stream_alerts_by_measured_load(spark, sf_dir):
+    """Both alert joins with slices for the busiest trips and routes, measured on the table and taken small."""
+    history = adapters.positions(adapters.table(spark, sf_dir, "events"))
+    trips = materialise(alerts.delay_slices(history, rows_per_slice=1), "trip-slices")
+    routes = materialise(alerts.bunching_slices(history, rows_per_slice=2), "route-slices")
+    late = runner.to_table(jobs.delay_alerts(
+        arriving(spark, sf_dir), adapters.trip_updates(events(spark, sf_dir)), trips), "delays")
+    near = rounded(runner.to_table(jobs.bunching_alerts(
+        positions(spark, sf_dir), positions(spark, sf_dir), routes), "bunching"))
+    return late.select(F.lit("delay").alias("kind"), "route_id", "vehicle_id", "event_ts",
+                       F.col("delay_sec").cast("double").alias("measure")).unionByName(near.select(
+        F.lit("bunching").alias("kind"), "route_id", F.col("vehicle_id_a").alias("vehicle_id"),
+        F.col("window_start").alias("event_ts"), F.col("distance_m").alias("measure")))
+
+
 @query("stream_dedup", sql("kept", f"""
     SELECT * FROM kept WHERE
       epoch_ms(time_bucket(interval '30 seconds', event_ts)) + 30000 <= {CLOSED}"""))

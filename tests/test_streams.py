@@ -106,6 +106,24 @@ def test_stream_joins_across_batches_equal_batch(spark, inbox):
     assert rows(late) == rows(batch) and batch.count() > 6
 
 
+def test_a_trip_with_half_the_rows_spreads_by_its_measured_load(spark, inbox):
+    for n in range(4):
+        inbox.put(*[message(100 * n + k, 30 * n + k % 7, trip_id="busy" if k % 2 else f"T{k}") for k in range(60)])
+    static = messages.parse_positions(messages.file_batch(spark, str(inbox.folder)))
+    slices = alerts.delay_slices(static, rows_per_slice=25)
+    assert rows(slices) == [("busy", 5)]  # 120 rows in the fullest bin.
+    assert alerts.delay_slices(static).count() == 0
+    update = F.struct("trip_id", "route_id", F.lit(300).alias("arrival_delay"), "event_ts")
+    stream = bronze(inbox.positions(spark))
+    updates = stream.where("ingested_at % 10 < 3").select(update.alias("u")).select("u.*")
+    found = runner.to_table(jobs.delay_alerts(bronze(inbox.positions(spark)), updates, slices), "d")
+    few = static.where("ingested_at % 10 < 3").select(update.alias("u")).select("u.*")
+    want = alerts.delay_alerts(static, few)
+    assert rows(found) == rows(want) and want.where("trip_id = 'busy'").count() > 1000
+    sliced = alerts.delay_alerts(static, few, slices=slices)
+    assert rows(sliced) == rows(want)
+
+
 def test_rows_behind_the_watermark_do_not_join(spark, inbox):
     inbox.put(message(1, 0))
     inbox.put(message(2, 4000))
