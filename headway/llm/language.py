@@ -171,14 +171,15 @@ def references(docs: DataFrame) -> dict[str, str]:
     return out
 
 
-def identified(docs: DataFrame) -> DataFrame:
+def identified(docs: DataFrame, learned: dict[str, str] | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.
 
     A null text, or one without a letter, is ``und`` with score 0; so is every document when no labelled
     text may be learned from. The score is one less the ratio of the phrases of the best language and
     the second best; with one language it is 1. Ties go to the first name. A row without an id is never held out.
+    ``learned`` has references made before.
     """
-    learned = references(docs)
+    learned = references(docs) if learned is None else learned
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(Languages(learned)) if learned else None
 
@@ -218,5 +219,11 @@ def _predict(column: pa.Array, languages: Languages | None) -> tuple[list[str],
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents with a language, with their columns; rows without an id always stay."""
-    return tx.without(docs, identified(docs), F.col("lang_pred") != UNKNOWN)
+    """The documents with a language, with their columns; rows without an id always stay.
+
+    Where no labelled text could be learned from, all documents with a letter stay.
+    """
+    learned = references(docs)
+    if not learned:
+        return docs.where(docs["doc_id"].isNull() | F.coalesce(docs["text"].cast("string").rlike(r"\p{L}"), F.lit(False)))
+    return tx.without(docs, identified(docs, learned), F.col("lang_pred") != UNKNOWN)

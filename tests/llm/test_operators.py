@@ -627,6 +627,13 @@ def test_pages_with_text_in_the_body_vote_and_keep_it(spark):
     assert all(got[k].count("word") == 60 for k in range(10, 19))
 
 
+def test_documents_stay_when_no_language_could_be_learned(spark):
+    docs = frame(spark, ["some words", "été", "123 !", "", None, None], [1, 2, 3, 4, 5, None], [None] * 6)
+    kept = language.kept_documents(docs)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "None"] and kept.columns == docs.columns
+    assert language.kept_documents(docs.limit(0)).count() == 0
+
+
 # The pipeline
 
 def test_pipeline_equals_its_stages_by_brute_force(spark):
