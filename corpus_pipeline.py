@@ -17,7 +17,7 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: null and empty texts, and texts without a letter.
 
     Extra columns come through as they are. Rows without an id stay, and rows of one id stay or go
-    together. An empty table gives no rows; with no labelled text to learn from, every document goes.
+    together. An empty table gives no rows; with no labelled text to learn from, documents with a letter stay.
     """
     prepare(spark)
     return language.kept_documents(docs)
