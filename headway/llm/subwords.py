@@ -7,7 +7,7 @@ import os
 import numpy as np
 
 #: Words of each of the two generations of the cache.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 #: Marks that form a token of their own after a letter or digit.
 MARKS = b".,!?;:%&*$#)\""
 #: A digit is always one token, so it parts words that have none like it.
