@@ -13,12 +13,12 @@ from headway.sources import static_feed
 
 TABLES = (*schemas.STATIC_TABLES, *schemas.UNTYPED_STATIC_TABLES)
 DATE = "_ingestion_date"
-PARTITIONS = (DATE, "_feed_name")
+FEED = "_feed_name"  # Feeds are many: they share the files of a date.
 
 
 def _schema(table: str) -> T.StructType:
     fields = schemas.STATIC_TABLES.get(table, schemas.struct()).fields
-    return T.StructType([T.StructField("_feed_name", T.StringType()), *fields,
+    return T.StructType([T.StructField(FEED, T.StringType()), *fields,
                          T.StructField("_other", T.MapType(T.StringType(), T.StringType())),
                          T.StructField("_cast_errors", T.IntegerType()), T.StructField(DATE, T.StringType())])
 
@@ -42,7 +42,7 @@ def run(spark: SparkSession, archive_rows: DataFrame, root: str, ingestion_date:
     tables = {}
     for table in TABLES:
         rows = static_feed.typed(opened, table).withColumn(DATE, F.lit(ingestion_date))
-        published.write_run(rows.select(*_schema(table).names), root, table, run_id, PARTITIONS)
+        published.write_run(rows.select(*_schema(table).names), root, table, run_id, (DATE,), (FEED,))
         tables[table] = published.read_run(spark, root, table, run_id, _schema(table))
     report = quality.report(tables["stops"], "stops", quality.stop_checks()).unionByName(
         quality.report(tables["routes"], "routes", quality.route_checks()))

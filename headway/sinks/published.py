@@ -20,9 +20,17 @@ LISTS = "_published"
 DATE = "ingestion_date"
 
 
-def write_run(df: DataFrame, root: str, layer: str, run: str, partition_by: Sequence[str] = (DATE,)) -> None:
-    """The rows of one run; a repeated write of the run replaces them."""
-    balanced = df.hint("rebalance", *partition_by) if partition_by else df
+def write_run(df: DataFrame, root: str, layer: str, run: str, partition_by: Sequence[str] = (DATE,),
+              cluster_by: Sequence[str] = ()) -> None:
+    """The rows of one run; a repeated write of the run replaces them.
+
+    A folder per value of ``partition_by``, so that has to be few; rows of equal ``cluster_by`` lie together
+    in the files, whose statistics let a reader skip the others.
+    """
+    together = (*partition_by, *cluster_by)
+    balanced = df.hint("rebalance", *together) if together else df
+    if cluster_by:
+        balanced = balanced.sortWithinPartitions(*together)
     balanced.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{root}/{layer}/run={run}")
 
 
