@@ -107,3 +107,18 @@ def test_route_summary_takes_the_newest_day(spark):
                                  "route_id string, feed string, ingestion_date string, avg_speed_kmh double")
     out = explore.route_summary(routes, gold)
     assert rows(out.select("route_id", "avg_speed_kmh")) == [("R1", 6.0), ("R2", None)]
+
+
+def test_alertable_rows_make_all_alive_alerts_and_few_others(spark):
+    # One position each 30 seconds for 2,000 seconds, the last 100 seconds after the moment asked for.
+    data = [dict(vehicle_id=f"V{n % 3}", trip_id=f"T{n % 2}", event_ts=NOW + timedelta(seconds=100 - 30 * n)) for n in range(67)]
+    seen = positions_frame(spark, data)
+    told = seen.select("trip_id", "route_id", F.lit(700).alias("arrival_delay"), "event_ts")
+
+    def alive(a, b):
+        feed = alerts.alert_feed(alerts.delay_alerts(a, b), alerts.bunching_alerts(a))
+        return rows(alerts.recent_alerts(feed, F.lit(NOW)))
+
+    few = [alerts.alertable(df, F.lit(NOW)) for df in (seen, told)]
+    assert alive(*few) == alive(seen, told) and len(alive(seen, told)) > 30
+    assert few[0].count() < 20
