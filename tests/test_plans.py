@@ -14,7 +14,7 @@ from headway.functions import geo
 from headway.operators import alerts, explore, state
 from headway.plans import asof
 from headway.plans.ordered import exact_median, ordinal_codes
-from headway.plans.rangejoin import interval_join
+from headway.plans.rangejoin import interval_join, measured_slices
 from headway.plans.sessions import gap_sessions
 
 START = datetime(2024, 1, 1, 8, tzinfo=timezone.utc)
@@ -251,3 +251,16 @@ def test_snapshot_messages_hold_every_vehicle_once(spark):
     bodies = [json.loads(m.body) for m in messages]
     assert {b["type"] for b in bodies} == {"snapshot"}
     assert len({v["vehicle_id"] for b in bodies for v in b["data"]}) == 500
+
+
+def test_slices_do_not_grow_with_the_density(spark):
+    def repeats(copies):
+        history = spark.range(200 * copies).select(
+            F.concat(F.lit("k"), F.when(F.col("id") % 5 < 2, 0).otherwise(F.col("id") % 20)).alias("key"),
+            F.timestamp_seconds(F.col("id") % 200).alias("ts"))
+        found = {r.key: r.slices for r in measured_slices(history, "key", "ts", 1000, rows_per_slice=2).collect()}
+        counts = {r.key: r["count"] for r in history.groupBy("key").count().collect()}
+        return sum(n * found.get(k, 1) for k, n in counts.items()) / (200 * copies), found["k0"]
+
+    few, many = repeats(1), repeats(50)
+    assert few == many and many[0] <= 4 and many[1] > 1
