@@ -6,11 +6,14 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 REPO = Path(__file__).resolve().parent.parent
 
 SCRIPT = """
 import os, sys
+from pyspark.sql import functions as F
+
 from headway import session
 spark = session.local_session(1, "1g", "headway-session")
 named = sys.argv[1] if len(sys.argv) > 1 else None
@@ -42,3 +45,10 @@ def test_written_tables_with_and_without_a_shared_folder(tmp_path, named):
     done = subprocess.run([sys.executable, "-c", SCRIPT, *([folder] if named else [])], env=env, cwd=tmp_path,
                           capture_output=True, text=True, timeout=180)
     assert done.returncode == 0 and "fine" in done.stdout, done.stderr[-2000:]
+
+
+def test_a_small_join_keeps_a_task_for_every_core(spark):
+    left = spark.range(40_000).selectExpr("id % 2000 AS a", "id")
+    right = spark.range(40_000).selectExpr("id % 2000 AS b", "id AS other")
+    joined = left.hint("merge").join(right.hint("merge"), F.col("a") == F.col("b"))
+    assert joined.rdd.getNumPartitions() >= 3
