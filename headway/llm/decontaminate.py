@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from headway.llm import text as tx
+from headway.llm import text as tx, workers
 
 K1, B = 1.2, 0.75
 PASSAGE, STRIDE = 128, 64
@@ -267,7 +267,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     items = tx.plain(benchmark, "item_id").where(f"doc_id <> {tx.NO_ID} AND text IS NOT NULL")
-    terms = items.mapInArrow(_terms, "term long, words long")
+    terms = items.mapInArrow(workers.frugal(_terms), "term long, words long")
     size = terms.agg(F.sum("words"), F.sum((F.col("words") > 0).cast("long"))).first()
     spans = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-spans // SHARD_BYTES))
@@ -275,11 +275,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts, found = tx.plain(docs), None
     for k in range(shards):
         part = items.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)) == k)
-        counts = frequency.join(part.mapInArrow(_terms, "term long, words long"), "term", "left_semi")
+        counts = frequency.join(part.mapInArrow(workers.frugal(_terms), "term long, words long"), "term", "left_semi")
         known = {r["term"] % 2**64: r["count"] for r in counts.collect()}
         index = build([(r["doc_id"], r["text"]) for r in part.orderBy("doc_id", "text").collect()],
                       known, size[1] or 0, (size[0] or 0) / max(1, size[1] or 0))
-        rows = texts.mapInArrow(_searcher(spark.sparkContext.broadcast(index)),
+        rows = texts.mapInArrow(workers.frugal(_searcher(spark.sparkContext.broadcast(index))),
                                 "doc_id long, item_id long, score double, question_overlap double,"
                                 " answer_overlap double, first_word long")
         found = rows if found is None else found.union(rows)

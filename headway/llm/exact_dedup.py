@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from headway.llm import text as tx
+from headway.llm import text as tx, workers
 from headway.session import materialise
 
 CHUNK = 4096
@@ -104,7 +104,7 @@ def _chunk_reader(table):
 def fingerprinted(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, n_bytes, print and text_sha256 of every document."""
     return tx.plain(docs).mapInArrow(
-        _prints, "doc_id long, n_chars long, n_bytes long, print long, text_sha256 string")
+        workers.frugal(_prints), "doc_id long, n_chars long, n_bytes long, print long, text_sha256 string")
 
 
 def conflicts(docs: DataFrame, prints: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def conflicts(docs: DataFrame, prints: DataFrame) -> DataFrame:
         .select("doc_id", "print", "n_bytes").distinct()
     members = materialise(members, "members")
     read = _chunk_reader(tx.id_table(members.select("doc_id")))
-    chunks = tx.plain(docs).mapInArrow(read, "doc_id long, n_bytes long, at long, chunk binary") \
+    chunks = tx.plain(docs).mapInArrow(workers.frugal(read), "doc_id long, n_bytes long, at long, chunk binary") \
         .join(members, ["doc_id", "n_bytes"])
     seen = chunks.groupBy("print", "n_bytes", "at", "chunk").agg(F.lit(1).alias("one"))
     return seen.groupBy("print", "n_bytes", "at").count().where("count > 1") \

@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from headway.llm import text as tx
+from headway.llm import text as tx, workers
 
 SAMPLE_DOCS = 200
 SAMPLE_SYMBOLS = 16_000
@@ -189,7 +189,7 @@ def identified(docs: DataFrame, learned: dict[str, str] | None = None) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()),
                                               pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    found = tx.plain(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    found = tx.plain(docs).mapInArrow(workers.frugal(run), "doc_id long, lang_pred string, score double")
     own = tx.given_id()
     return found.select(own, held_out(F.nullif("doc_id", F.lit(tx.NO_ID))).alias("held_out"), "lang_pred", "score")
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from headway.llm import subwords, text as tx
+from headway.llm import subwords, text as tx, workers
 from headway.llm.language import held_out
 from headway.session import materialise
 
@@ -54,7 +54,7 @@ def token_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
                                              names=["doc_id", "tag", "ids"])
 
     own = F.nullif("doc_id", F.lit(tx.NO_ID))
-    return texts.mapInArrow(run, "doc_id long, tag long, ids binary").withColumn("held_out", held_out(own, 7))
+    return texts.mapInArrow(workers.frugal(run, subwords.KEPT_AS), "doc_id long, tag long, ids binary").withColumn("held_out", held_out(own, 7))
 
 
 @dataclass

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from headway.llm import text as tx
+from headway.llm import text as tx, workers
 from headway.llm.components import components
 from headway.session import discard, materialise
 
@@ -125,7 +125,7 @@ def class_sets(texts: DataFrame, wanted: DataFrame, largest: int | None = None)
     """(cid, shingles) of the wanted classes. Only texts whose id may be that of a class leave their place."""
     table = tx.id_table(wanted.select("first_id"))
     kind = "int" if largest else "long"
-    found = texts.mapInArrow(_set_reader(table, largest), f"n long, s1 long, s2 long, shingles array<{kind}>") \
+    found = texts.mapInArrow(workers.frugal(_set_reader(table, largest)), f"n long, s1 long, s2 long, shingles array<{kind}>") \
         .groupBy("n", "s1", "s2").agg(F.first("shingles").alias("shingles"))
     return wanted.select("cid", "n", "s1", "s2").join(found, ["n", "s1", "s2"]).select("cid", "shingles")
 
@@ -169,7 +169,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     """
     texts = tx.plain(docs)
     signed = materialise(texts.mapInArrow(
-        _signatures, "doc_id long, n long, s1 long, s2 long, bands array<long>, sketch array<long>"),
+        workers.frugal(_signatures), "doc_id long, n long, s1 long, s2 long, bands array<long>, sketch array<long>"),
         "signatures")
     # A class is a distinct set; its number serves no longer than this run.
     reps = materialise(signed.where("n > 0").groupBy("n", "s1", "s2").agg(

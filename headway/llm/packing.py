@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from headway.llm import subwords, text as tx
+from headway.llm import subwords, text as tx, workers
 from headway.session import materialise
 
 LIMIT = 2048
@@ -45,7 +45,7 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:
                 names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return tx.plain(docs).mapInArrow(
-        cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+        workers.frugal(cut, subwords.KEPT_AS), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[int, int, int, int, int]]:

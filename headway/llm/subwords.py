@@ -6,6 +6,8 @@ import os
 
 import numpy as np
 
+from headway.llm import workers
+
 #: Words of each of the two generations of the cache.
 CACHE_WORDS = 400_000
 #: Marks that form a token of their own after a letter or digit.
@@ -76,10 +78,12 @@ class WordIds:
         return [b"".join(map(get, words)) for words in split]
 
 
-_ENCODERS: dict[str, WordIds] = {}
+#: The name by which workers keep the encoders.
+KEPT_AS = "subwords"
 
 
 def encoder(path: str) -> WordIds:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordIds(path)
-    return _ENCODERS[path]
+    known = workers.KEPT.setdefault(KEPT_AS, {})
+    if path not in known:
+        known[path] = WordIds(path)
+    return known[path]

@@ -15,11 +15,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+from headway.llm import workers
 from headway.session import materialise
 
 NO_ID = 2**63 - 1
 #: A task works on so many bytes of text at a time; a longer text is taken alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -66,7 +67,7 @@ def bit_table(keyed: DataFrame, keys: Callable[[list[np.ndarray]], np.ndarray],
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(signed(table[at]))], names=["at", "bits"])
 
-    made = keyed.mapInArrow(gathered, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    made = keyed.mapInArrow(workers.frugal(gathered), "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     table = np.zeros(1 << bits - 6, np.uint64)
     table[made["at"].to_numpy()] = made["bits"].to_numpy().view(np.uint64)
     return table
