@@ -57,6 +57,11 @@ def token_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
     return texts.mapInArrow(workers.frugal(run, subwords.KEPT_AS), "doc_id long, tag long, ids binary").withColumn("held_out", held_out(own, 7))
 
 
+def _far(exponents: np.ndarray) -> bool:
+    """Whether exponents could leave the range of single precision."""
+    return exponents.max() > 60 or exponents.min() < -60
+
+
 @dataclass
 class Model:
     vocabulary: int                # ids, with one more for the end of a text
@@ -71,7 +76,11 @@ class Model:
     def fit(self, x: np.ndarray, y: np.ndarray, seed: int = 5, least: int = ROUNDS, first_rate: float = RATE) -> Model:
         """Windows of slots, and the slots that follow; -1 where there is none. Each window is met at least once."""
         r = np.random.default_rng(seed)
-        m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
+        # All weights lie in one vector, of which the named ones are views.
+        names, ends = list(self.p), np.cumsum([a.size for a in self.p.values()])
+        flat = np.concatenate([a.ravel() for a in self.p.values()]).astype(np.float32)
+        self.p = {k: part.reshape(self.p[k].shape) for k, part in zip(names, np.split(flat, ends[:-1]))}
+        m, v, move = (np.zeros_like(flat) for _ in range(3))
         steps = max(least, -(-len(x) // BATCH)) if len(x) else 0
         order = np.zeros(0, np.int64)
         for step in range(1, steps + 1):
@@ -79,51 +88,83 @@ class Model:
                 order = np.append(order, r.permutation(len(x)))
             pick, order = order[:BATCH], order[BATCH:]
             rate = first_rate * (1 - 0.9 * step / steps)
-            for k, g in self.gradients(x[pick], y[pick])[1].items():
-                m[k] = 0.9 * m[k] + 0.1 * g
-                v[k] = 0.99 * v[k] + 0.01 * g * g
-                self.p[k] = (self.p[k] - rate * (m[k] / (1 - 0.9 ** step))
-                             / (np.sqrt(v[k] / (1 - 0.99 ** step)) + 1e-6)).astype(np.float32)
+            grads = self.gradients(x[pick], y[pick])[1]
+            g = np.concatenate([grads[k].ravel() for k in names])
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * g
+            v *= np.float32(0.99)
+            g *= g
+            v += np.float32(0.01) * g
+            np.sqrt(v, out=move)
+            move *= np.float32((1 - 0.99 ** step) ** -0.5)
+            move += np.float32(1e-6)
+            np.divide(m, move, out=move)
+            move *= np.float32(rate / (1 - 0.9 ** step))
+            flat -= move
         return self
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log likelihood of the targets, and its gradients."""
-        p, mask = self.p, (y >= 0).astype(np.float32)
-        n, t = max(1, int(mask.sum())), x.shape[1]
-        y = np.maximum(y, 0)
-        e = p["embed"][x] + p["place"][:t]
-        q, k, v = e @ p["q"], e @ p["k"], e @ p["v"]
-        scale = np.float32(WIDTH ** -0.5)
-        s = q @ k.transpose(0, 2, 1) * scale + np.triu(np.full((t, t), -1e9, np.float32), 1)
-        s = np.exp(s - s.max(2, keepdims=True))
-        a = s / s.sum(2, keepdims=True)
-        z = np.tanh(a @ v + e @ p["r"])
-        logits = z @ p["out"] + p["bias"]
-        soft = np.exp(logits - logits.max(2, keepdims=True))
-        soft /= soft.sum(2, keepdims=True)
-        cls = self.of_class[y]
-        own = np.take_along_axis(soft, cls[..., None], 2)[..., 0] * self.share[y]
-        gate = 1 / (1 + np.exp(-(z @ p["gate"] + p["lean"])))
-        other = self.bigram[x, y]
-        mix = gate * own + (1 - gate) * other + 1e-30
-        d_mix = -mask / mix / n
-        d_logits = (d_mix * gate * own)[..., None] * (np.eye(CLASSES, dtype=np.float32)[cls] - soft)
-        d_gate = d_mix * (own - other) * gate * (1 - gate)
-        flat = z.reshape(-1, WIDTH)
-        g = {"out": flat.T @ d_logits.reshape(-1, CLASSES), "bias": d_logits.sum((0, 1)),
-             "gate": flat.T @ d_gate.ravel(), "lean": np.array([d_gate.sum()], np.float32)}
-        d_u = (d_logits @ p["out"].T + d_gate[..., None] * p["gate"]) * (1 - z * z)
-        d_a = d_u @ v.transpose(0, 2, 1)
-        d_s = a * (d_a - (d_a * a).sum(2, keepdims=True)) * scale
-        parts = {"q": d_s @ k, "k": d_s.transpose(0, 2, 1) @ q, "v": a.transpose(0, 2, 1) @ d_u, "r": d_u}
-        d_e = np.zeros_like(e)
-        for name, d in parts.items():
-            g[name] = e.reshape(-1, WIDTH).T @ d.reshape(-1, WIDTH)
-            d_e += d @ p[name].T
+        p, w, (b, t) = self.p, WIDTH, x.shape
+        x, y = x.ravel(), y.ravel()
+        mask = y >= 0
+        n, y, rows = max(1, int(np.count_nonzero(mask))), np.maximum(y, 0), np.arange(len(x))
+        every = np.concatenate([p[k] for k in "qkvr"], 1)
+        one, scale = every.dtype.type(1), every.dtype.type(w ** -0.5)
+        e = (p["embed"][x].reshape(b, t, w) + p["place"][:t]).reshape(-1, w)
+        h = e @ every
+        h[:, :w] *= scale
+        q, k, v = (h.reshape(b, t, -1)[..., i:i + w] for i in (0, w, 2 * w))
+        a = q @ k.transpose(0, 2, 1)
+        if _far(a):
+            a += np.triu(np.full((t, t), -1e9, np.float32), 1)
+            a -= a.max(2, keepdims=True)
+        np.exp(a, out=a)
+        a *= _CAUSAL[:t, :t]
+        a *= (one / (a.reshape(-1, t) @ np.ones(t, a.dtype))).reshape(b, t, 1)
+        mean = (a @ v).reshape(-1, w)
+        z = np.tanh(mean + h[:, 3 * w:])
+        soft = z @ p["out"]
+        soft += p["bias"]
+        if _far(soft):
+            soft -= soft.max(1, keepdims=True)
+        np.exp(soft, out=soft)
+        total = soft @ np.ones(CLASSES, soft.dtype)
+        at = rows * CLASSES + self.of_class[y]
+        own = soft.ravel()[at] / total * self.share[y]
+        gate = one / (one + np.exp(-(z @ p["gate"] + p["lean"])))
+        other = self.bigram.ravel()[x.astype(np.int64) * SLOTS + y]
+        mix = gate * own + (one - gate) * other + one * 1e-30
+        d_mix = -mask.astype(mix.dtype) / mix / n
+        d_own = d_mix * gate * own
+        soft *= (-d_own / total)[:, None]
+        soft.ravel()[at] += d_own
+        d_gate = d_mix * (own - other) * gate * (one - gate)
+        g = {"out": z.T @ soft, "bias": np.ones(len(x), soft.dtype) @ soft,
+             "gate": z.T @ d_gate, "lean": np.array([d_gate.sum()], d_gate.dtype)}
+        d_u = soft @ p["out"].T
+        d_u += d_gate[:, None] * p["gate"]
+        d_u *= one - z * z
+        u = d_u.reshape(b, t, w)
+        d_s = u @ v.transpose(0, 2, 1)
+        d_s -= ((d_u * mean) @ np.ones(w, d_u.dtype)).reshape(b, t, 1)
+        d_s *= a
+        d_h = np.empty_like(h)
+        parts = d_h.reshape(b, t, -1)
+        np.matmul(d_s, k, out=parts[..., :w])
+        np.matmul(d_s.transpose(0, 2, 1), q, out=parts[..., w:2 * w])
+        np.matmul(a.transpose(0, 2, 1), u, out=parts[..., 2 * w:3 * w])
+        d_h[:, :w] *= scale
+        d_h[:, 3 * w:] = d_u
+        g |= dict(zip("qkvr", np.split(e.T @ d_h, 4, axis=1)))
+        d_e = d_h @ every.T
         g["embed"] = np.zeros_like(p["embed"])
-        np.add.at(g["embed"], x, d_e)
+        order = np.argsort(x.astype(np.int16), kind="stable")
+        met = x[order]
+        first = np.flatnonzero(np.append(True, met[1:] != met[:-1]))
+        g["embed"][met[first]] = np.add.reduceat(d_e[order], first, axis=0)
         g["place"] = np.zeros_like(p["place"])
-        g["place"][:t] = d_e.sum(0)
+        g["place"][:t] = (np.ones(b, d_e.dtype) @ d_e.reshape(b, -1)).reshape(t, w)
         return float(-(np.log(mix) * mask).sum() / n), g
 
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
