@@ -135,6 +135,27 @@ def test_rows_behind_the_watermark_do_not_join(spark, inbox):
     assert batch.count() == 1
 
 
+def test_bunching_state_holds_columns_and_expires(spark, inbox):
+    for n in range(3):  # 200 vehicles a delivery, all of them within 90 seconds.
+        inbox.put(*[message(200 * n + k, 20 * n + k % 20) for k in range(200)])
+    inbox.put(message(1000, 3000, trip_id="T2"))
+    read = [bronze(inbox.positions(spark)) for _ in range(2)]
+    found, query = runner.observed(jobs.bunching_alerts(*read), "state")
+    static = messages.parse_positions(messages.file_batch(spark, str(inbox.folder)))
+    columns = [*found.columns[:3], F.round("distance_m", 6), *found.columns[4:]]
+    assert rows(found.select(*columns)) == rows(alerts.bunching_alerts(static).select(*columns))
+    assert found.count() == 600 * 599 // 2
+    held = [sum(op["numRowsTotal"] for op in p["stateOperators"]) for p in query.recentProgress]
+    assert max(held) < 40  # One value for the rows of a shard; every row was a state of its own.
+    assert held[-1] < max(held)
+
+
+def test_a_far_event_time_does_not_stop_the_bunching_stream(spark, inbox):
+    inbox.put(message(1, 0), message(2, 0), message(3, 10**10), message(4, 10**10))
+    found = runner.to_table(jobs.bunching_alerts(bronze(inbox.positions(spark)), bronze(inbox.positions(spark))), "far")
+    assert rows(found.select("vehicle_id_a", "vehicle_id_b")) == [("V1", "V2"), ("V3", "V4")]
+
+
 def test_restart_continues_without_repeats(spark, inbox, tmp_path):
     def run():
         writer = lake.bronze_sink(inbox.positions(spark), str(tmp_path / "out"), str(tmp_path / "cp"))
