@@ -25,6 +25,6 @@ def kafka_sink(df: DataFrame, servers: str, topic: str, checkpoint: str, key: st
 
 def json_sink(df: DataFrame, folder: str, checkpoint: str, key: str | None = None
               ) -> DataStreamWriter:
-    """Streaming writer to JSON lines, one message per line."""
+    """Streaming writer to JSON lines, one message per line; the files are gzipped, as messages repeat all names."""
     return (to_messages(df, key).select("value").writeStream.format("text").outputMode("append")
-            .option("path", folder).option("checkpointLocation", checkpoint))
+            .option("compression", "gzip").option("path", folder).option("checkpointLocation", checkpoint))

@@ -156,6 +156,17 @@ def test_a_far_event_time_does_not_stop_the_bunching_stream(spark, inbox):
     assert rows(found.select("vehicle_id_a", "vehicle_id_b")) == [("V1", "V2"), ("V3", "V4")]
 
 
+def test_alert_messages_are_written_compressed(spark, inbox, tmp_path):
+    inbox.put(*[message(k, 0) for k in range(60)])
+    read = [bronze(inbox.positions(spark)) for _ in range(2)]
+    writer = message_sinks.json_sink(jobs.bunching_alerts(*read), str(tmp_path / "out"), str(tmp_path / "cp"), "route_id")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    told = spark.read.text(str(tmp_path / "out"))
+    size = sum(f.stat().st_size for f in (tmp_path / "out").glob("part-*"))
+    assert told.count() == 60 * 59 // 2 and size < 20 * told.count()
+    assert {"V0", "V1"} <= {json.loads(r.value)["vehicle_id_a"] for r in told.collect()}
+
+
 def test_restart_continues_without_repeats(spark, inbox, tmp_path):
     def run():
         writer = lake.bronze_sink(inbox.positions(spark), str(tmp_path / "out"), str(tmp_path / "cp"))
