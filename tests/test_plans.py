@@ -6,13 +6,14 @@ import statistics
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import positions_frame, rows
 from pyspark.sql import functions as F
 
-from headway.functions import geo
+from headway.functions import geo, times
 from headway.operators import alerts, explore, state
-from headway.plans import asof
+from headway.plans import asof, packs
 from headway.plans.ordered import exact_median, ordinal_codes
 from headway.plans.rangejoin import interval_join, measured_slices
 from headway.plans.sessions import gap_sessions
@@ -111,6 +112,55 @@ def test_bunching_equals_brute_force_with_copies(spark):
     assert {tuple(r) for r in flagged.collect()} == members
 
 
+def test_bunching_meets_ranges_and_not_rows(spark):
+    frame = positions_frame(spark, [dict(vehicle_id=f"V{i}") for i in range(40)])
+    found = alerts.bunching_alerts(frame.union(frame), window_s=900)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
+    assert found.count() == 4 * 40 * 39 // 2
+
+
+@pytest.mark.parametrize("fresh", [False, True])
+def test_packs_equal_brute_force_across_their_bounds(monkeypatch, fresh):
+    for name, value in (("PACK_ROWS", 7), ("PACK_CANDIDATES", 40), ("STEP", 11)):
+        monkeypatch.setattr(packs, name, value)
+    rng, width, tolerance = random.Random(4), 360, 90
+    data = []
+    for i in range(400):
+        at, left = rng.randrange(0, 2000), rng.random() < 0.5
+        for k in [at // width] if left else range((at - tolerance) // width, (at + tolerance) // width + 1):
+            data.append(dict(left=left, key=f"R{i % 2}", k1=k, at=at * 10**6, id=f"V{i % 60}", n=1, i=i,
+                             lat=12.95 + rng.choice([0.0, 0.004]), lon=77.55))
+    rng.shuffle(data)
+    origin = times.BUCKET_ORIGIN_SECONDS * 10**6
+    table = pa.Table.from_pylist([d | dict(at=d["at"] + origin) for d in data]).sort_by("at")
+    table = table.append_column("fresh", pa.array([i % 3 == 0 for i in range(len(table))]))
+    table = packs._grouped(table, ["key", "k1"])
+    new = table["fresh"].to_numpy().astype(bool) if fresh else None
+    made = list(packs._packed(table, ["key", "k1"], tolerance, width, new))
+    assert len(made) > 50
+    found = sorted((a["id"][int(i)].as_py(), b["id"][int(j)].as_py(), a["at"][int(i)].as_py(), b["at"][int(j)].as_py())
+                   for pack in made for a, b, left, right, _ in packs._pairs(pack, 300.0)
+                   for i, j in zip(left, right))
+    rows_ = table.to_pylist()
+    expected = sorted((a["id"], b["id"], a["at"], b["at"]) for a in rows_ for b in rows_
+                      if a["left"] and not b["left"] and (a["key"], a["k1"]) == (b["key"], b["k1"]) and a["id"] < b["id"]
+                      and abs(a["at"] - b["at"]) <= tolerance * 10**6 and a["lat"] == b["lat"]
+                      and (not fresh or a["fresh"] or b["fresh"]))
+    assert found == expected and len(found) > 100
+    assert [int(i) for part in packs._repeated(np.array([3, 1, 20, 2])) for i in part] == [0] * 3 + [1] + [2] * 20 + [3] * 2
+
+
+def test_millimetres_round_half_up(spark):
+    from headway.registry.realtime import rounded
+
+    values = [0.0, 0.0005, 0.00049999999999999994, 1.0015, 499.9995, 123.4565, 0.1235, 17.0, None] + [
+        random.Random(n).uniform(0, 500) for n in range(300)]
+    frame = spark.createDataFrame([(v,) for v in values], "distance_m double")
+    same = rounded(frame.withColumn("was", F.round(F.col("distance_m") * 1000) / 1000))
+    assert same.where("NOT (distance_m <=> was)").count() == 0
+
+
 def test_delay_join_bounds_and_copies(spark):
     positions = positions_frame(spark, [
         dict(vehicle_id="A", event_ts=START), dict(vehicle_id="A", event_ts=START),
